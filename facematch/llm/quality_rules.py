@@ -46,7 +46,7 @@ RULES = (
     ("variety", _least(0.12, 0.25)),
     ("length", _least(49, 80)),
     ("word_size", lambda x: 1 if 3.0 <= x <= 12.0 else -1 if x < 2.0 or x > 20.0 else 0),
-    ("sentences", _least(0.002, 0.02)),
+    ("sentences", lambda x: 1 if x >= 0.02 else 0),
 )
 
 
