@@ -171,3 +171,16 @@ def test_assets(tmp_path):
     assert dst.read_bytes() == good.read_bytes() and os.listdir(tmp_path / "m") == ["model"]
     with pytest.raises(OSError):
         assets.ensure(str(tmp_path / "no"), bad.as_uri(), (), 50)
+
+
+def test_stream_into_cache(spark, tmp_path):
+    from facematch.streaming.cache_writer import write_cache
+
+    arriving, folder = str(tmp_path / "in"), str(tmp_path / "cache")
+    rows = [("a", "1", 1, [[0.5]]), ("b", "1", 0, [])]
+    spark.createDataFrame(rows, cache.SCHEMA).coalesce(1).write.parquet(arriving)
+    write_cache(spark, arriving, folder, str(tmp_path / "ck")).awaitTermination(60)
+    spark.createDataFrame([("a", "2", 1, [[0.25]])], cache.SCHEMA).coalesce(1).write.mode("append").parquet(arriving)
+    write_cache(spark, arriving, folder, str(tmp_path / "ck")).awaitTermination(60)
+    got = cache.FaceCacheTable(spark, folder).read().collect()
+    assert sorted((r.path, r.hash, r.faces_count) for r in got) == [("a", "2", 1), ("b", "1", 0)]
