@@ -72,6 +72,68 @@ def test_line_dedup(spark):
     assert got[2] in ("\n***", f"{near}\n\n***")  # the print of the changed line may be over 3 bits off
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        over, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(over[j] + 1, row[-1] + 1, over[j - 1] + (x != y)))
+    return row[-1]
+
+
+def brute_lines(texts):
+    """The numbers of the lines that go, of each text in order, by edit similarity of all pairs of normal forms."""
+    forms = [[" ".join("".join(c if c.isalnum() else " " for c in x.lower()).split()) for x in (t or "").split("\n")] for t in texts]
+    nodes = sorted({f for x in forms for f in x if f})
+    root = {f: f for f in nodes}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            most = 0.2 * max(len(a), len(b)) + 1e-9
+            if abs(len(a) - len(b)) <= most and find(a) != find(b) and edits(a, b) <= most:
+                root[find(a)] = find(b)
+    seen, out = set(), []
+    for x in forms:
+        out.append([])
+        for i, f in enumerate(x):
+            if f and (g := find(f)) in seen:
+                out[-1].append(i)
+            elif f:
+                seen.add(g)
+    return out
+
+
+def near_lines():
+    """Texts of lines and their near copies: a word changed, taken out or put in, of letters changed, and lines without blanks."""
+    draw, texts = random.Random(50), []
+    for n in (2, 3, 5, 8, 10, 15, 20):
+        for k in range(2):
+            line = varied(n, 100 * n + k).split()
+            other = list(line)
+            other[draw.randrange(n)] = varied(1, draw.randrange(10**6))
+            more, less = [*line, "and"], line[: max(1, n - 1)]
+            letter = list(" ".join(line))
+            letter[len(letter) // 2] = "z"
+            texts += [" ".join(line), "\n".join([" ".join(other), "".join(letter)]), " ".join(more) + "!\n\n***", " ".join(less).upper()]
+    solid = varied(30, 51).replace(" ", "")
+    return [*texts, "la ra\nfour", "la ja\nfoul", "eding in", "eding enin", "the the the cat the the sat the", "the the the hat the the sat the", solid, solid[:50] + "z" + solid[51:], None, ""]
+
+
+def test_line_dedup_equals_brute_force(spark, tmp_path):
+    texts = near_lines()
+    want = brute_lines(texts)
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in line_dedup.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i].removed_lines for i in range(len(texts))] == want
+    assert [got[i].n_removed for i in range(len(texts))] == [len(x) for x in want] and sum(map(len, want)) > 30
+    assert [got[i].n_lines for i in range(len(texts))] == [0 if t is None else t.count("\n") + 1 for t in texts]
+
+
 # 2
 def test_classifier_held_out(spark):
     got = quality_classifier.op2_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").collect()
