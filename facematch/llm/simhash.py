@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facematch.llm.common import components, cut, documents, slices
+from facematch.llm.common import components, cut, documents, free_name, slices
 
 BITS, SHINGLE, SEED, GENERATOR = 4, 4, 42, 0b101011100011
 _LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
@@ -50,15 +50,16 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (long) of each row of docs (doc_id, text)."""
-    schema = T.StructType([*docs.select("doc_id").schema.fields, T.StructField("fp", T.LongType())])
+    """The columns of docs but text, and fp (long), of each row of docs (doc_id, text)."""
+    kept = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("fp", T.LongType())])
 
     def run(batches):
         for batch in slices(batches, "text"):
             made = np.array([fingerprint(x) for x in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made.view(np.int64))], names=[*kept, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(*kept, "text").mapInArrow(run, schema)
 
 
 @lru_cache(1)
@@ -152,13 +153,17 @@ def groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     result. Equal fingerprints, a third of all rows perhaps, are one node: they are combined
     before the shuffle, and no pairs are made of them.
     """
-    prints = cut(fingerprints(docs))
+    prints = cut(fingerprints(docs.select("doc_id", "text")))
+    return prints.join(_known(prints, bits).drop("root"), "fp")
+
+
+def _known(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """fp, root (a fingerprint that stands for its group) and component_id of each fingerprint of prints (doc_id, fp)."""
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp"), bits))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = cut(named.join(least, "root").select("fp", "component_id"))
-    return prints.join(known, "fp")
+    return cut(named.join(least, "root").select("fp", "root", "component_id"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,8 +172,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: that with the least doc_id (one of those, where rows repeat it). Rows without a doc_id stay."""
-    found = groups(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """One row of each group: that with the least doc_id, of those the least fingerprint and hash of the row. Rows without a doc_id stay."""
+    mark = free_name(docs, "row")
+    marked = docs.withColumn(mark, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    prints = cut(fingerprints(marked.select("doc_id", F.col(mark).alias("row"), "text")))
+    found = prints.where("doc_id is not null").join(_known(prints), "fp")
+    keep = found.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "row")).alias("x")).select("x.doc_id", F.col("x.row").alias(mark)).distinct()
+    named = marked.where("doc_id is not null").join(keep, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+    return named.drop(mark).unionByName(docs.where("doc_id is null"))

@@ -332,6 +332,12 @@ def test_simhash_groups(spark):
     assert sorted(r.doc_id for r in simhash.stage(spark, frame(spark, texts), "").collect()) == sorted(set(root))
 
 
+def test_simhash_stage_keeps_unlike_rows_of_one_id(spark):
+    a, b, c = varied(900, 30), varied(900, 31), varied(900, 33)
+    got = simhash.stage(spark, frame(spark, [a, b, b, c, a], [1, 1, 2, 3, 1]), "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, a), (1, b), (3, c)])
+
+
 def test_fingerprint_by_hand():
     text = b"One two THREE four five"
     h = [xxhash.xxh64_intdigest(s, 42) for s in (b"one two three four", b"two three four five")]
