@@ -59,6 +59,15 @@ def test_best_match_edges(spark):
     assert empty == {(1.0, -1)}
 
 
+def test_repeated_faces_stay_with_many_references(spark, monkeypatch):
+    refs = spark.createDataFrame([(i, [0.1 * i, 0.5]) for i in range(5)], "persona_idx int, embedding array<float>")
+    faces = spark.createDataFrame([(1, 0, [1.0, 0.0])] * 3 + [(2, 0, [0.0, 1.0])], "photo_id int, face_index int, embedding array<float>")
+    found = lambda: sorted(matching.match_photos(faces, refs, 0.65).select("photo_id", "n_faces", "best_idx").collect())
+    few = found()
+    monkeypatch.setattr(matching, "BLOCK", 2)
+    assert found() == few and [r.n_faces for r in few] == [3, 1]
+
+
 def test_first_match_is_not_the_best(spark):
     refs = spark.createDataFrame([(0, [1.0])], "persona_idx int, embedding array<float>")
     faces = spark.createDataFrame([(1, 0, [0.4]), (1, 1, [0.8])], "photo_id int, face_index int, embedding array<float>")
