@@ -153,15 +153,16 @@ def fit(rows: list[np.ndarray], labels: list[int]):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], list[int]]:
-    """Features and labels of the bounded sample. Ids with labels that contradict are left out; repeated ones count once."""
+    """Features and labels of the bounded sample. Ids with labels that contradict are left out; of an id's texts the one that hashes least counts."""
     ids = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).where("y = z")
     ids = ids.where(~held_out(F.col("doc_id"), 5, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN).select("doc_id", "y")
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(ids), "doc_id")  # MAX_TRAIN rows at most
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(ids), "doc_id")
+    least = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least")).select("doc_id", "y", "least.text")  # MAX_TRAIN rows at most
 
     def work(xs):
         return [pa.array([features(x).tobytes() for x in xs], pa.binary())]
 
-    got = with_columns(texts, "text", work, [("x", T.BinaryType())]).select("doc_id", "y", "x").limit(2 * MAX_TRAIN).collect()
+    got = with_columns(least, "text", work, [("x", T.BinaryType())]).select("doc_id", "y", "x").collect()
     got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["x"])))
     return [np.frombuffer(r["x"], np.int32) for r in got], [r["y"] for r in got]
 

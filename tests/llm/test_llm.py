@@ -148,6 +148,15 @@ def test_classifier_edges(spark):
     assert {r.score for r in quality_classifier.score(edges(spark), labels.limit(0)).collect()} == {0.5}
 
 
+def test_classifier_counts_repeated_ids_once(spark):
+    ids = list(range(20))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in ids], "doc_id long, quality int, toxic int")
+    once = frame(spark, [varied(30, i) for i in ids])
+    hot = once.union(frame(spark, [varied(30, 2)] * 50, [2] * 50))
+    plain = lambda got: ([x.tolist() for x in got[0]], got[1])
+    assert plain(quality_classifier.training_rows(hot, labels)) == plain(quality_classifier.training_rows(once, labels))
+
+
 # 3
 def test_packing_round_trip(spark):
     draw = random.Random(4)
