@@ -9,10 +9,13 @@ have equal anchors at the same offset, and neighbouring windows mostly share the
 
 1. documents are packed into chunks, a few MB of compressed rows each, kept in the shared folder;
 2. anchors' hashes, once for each chunk, are dealt by hash; those met twice go back to the chunks;
-3. each chunk cuts out the regions of such anchors (the bytes of all windows of one anchor);
+   documents whose whole text has the 16-byte BLAKE2 digest of an earlier one are found by a join;
+3. each chunk marks those copies as removed whole, without regions; of its other documents it cuts
+   out the regions of such anchors (the bytes of all windows of one anchor);
    a region that equals one before it in its chunk is removed whole;
 4. regions are dealt by anchor; those equal to an earlier one are removed whole, and over the
-   others a suffix array is built by the difference-cover algorithm; of neighbours in it whose
+   others of a bucket a suffix array is built by the difference-cover algorithm, locally in one task;
+   of neighbours in it whose
    first LENGTH bytes are equal, all but the earliest are removed;
 5. the removed runs go back to the chunks and are cut out.
 
