@@ -10,8 +10,9 @@ import __spark_entry__ as entry
 from facematch import assets, config, log
 from facematch.functions import pixels
 from facematch.functions.paths import glob_regex, matches_glob, relative
-from facematch.functions.vectors import best_match, cosine_distance
+from facematch.functions.vectors import best_match, cosine_distance, l2_normalize
 from facematch.operators import cache, detection, geometry, matching
+from facematch.plans import fixtures
 from facematch.plans.catalog import ORACLES, QUERIES
 from facematch.sources.image_walk import scan_images
 
@@ -36,6 +37,22 @@ def test_against_sql(spark, name):
     assert rows([dict(zip(names, map(plain, r))) for r in answer.fetchall()], columns) == rows([r.asDict() for r in df.collect()], columns)
 
 
+def test_all_components_and_landmarks(spark):
+    """Those that the queries l2_normalize and decode_landmarks don't show."""
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", l2_normalize(F.col("embedding")).alias("n")).collect()
+    for r in e:
+        v = np.array(r.embedding, np.float64)
+        assert len(r.n) == len(v) and np.allclose(r.n, v / np.sqrt(v @ v), atol=1e-6)
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from read_parquet('{SF}/lineitem.parquet')")
+    xy = ", ".join(f"lx{i}, ly{i}" for i in range(5))
+    want = con.execute(f"WITH {fixtures.RAW_SQL} SELECT image, line, {xy} FROM decoded").fetchall()
+    rows = detection.decode_landmarks(fixtures.raw(spark, SF)).select("image", "line", "landmarks").collect()
+    got = [(r.image, r.line, *(z for p in r.landmarks for z in (p["x"], p["y"]))) for r in rows]
+    in_order = lambda found: np.array(sorted(tuple(round(float(z), 3) + 0.0 for z in r) for r in found))
+    assert len(got) == len(want) and np.allclose(in_order(got), in_order(want), atol=2e-3)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
