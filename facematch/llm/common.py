@@ -25,22 +25,19 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if
+    the driver does all work itself, as in tests; else an error, as executors wouldn't see it."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="facematch-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; for narrow tables. Lost executors don't lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, what: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read again, and its path for ``dropped``."""
     spark = df.sparkSession
@@ -58,6 +55,62 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+class Scratch:
+    """Tables kept in the shared folder while a job runs; leaving the ``with`` block deletes those that ``keep`` wrote.
+
+    Lost executors lose none of them, and they cut the lineage. Shuffle files of plans that are done
+    with go as well, as soon as the driver's garbage is collected.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        dropped(self.spark, *self.paths.values())
+
+    def keep(self, df: DataFrame, what: str = "table") -> DataFrame:
+        """df, computed once; until the block ends or ``drop`` is told of it."""
+        out, path = stored(df, what)
+        self.paths[id(out)] = path
+        out._scratch = self  # it lives as long as its id is known
+        return out
+
+    def drop(self, *dfs: DataFrame) -> None:
+        for df in dfs:
+            dropped(self.spark, self.paths.pop(id(df)))
+
+    def result(self, df: DataFrame, what: str = "result") -> DataFrame:
+        """df, computed once, to stay when the block ends; it goes when the driver ends."""
+        return stored(df, what)[0]
+
+
+#: Bits of the filter of ``parted``: 2 MB of them are broadcast, whatever the input.
+FILTER = 1 << 24
+
+
+def parted(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose ``key`` (bigint) may be among keys (one column of bigint), and those whose key is not, or null.
+
+    A filter of FILTER bits tells them apart, so that rows without a partner are spared the shuffle of
+    a join. Once many keys fill the bits it spares nothing more; what comes of the join is the same.
+    """
+    name = keys.columns[0]
+    word, bit = free_name(df, "word"), free_name(df, "bits")
+
+    def spot(c):
+        return F.expr(f"cast(pmod(`{c}`, {FILTER}) div 64 as int)"), F.expr(f"shiftleft(1L, cast(pmod(`{c}`, {FILTER}) % 64 as int))")
+
+    w, b = spot(name)
+    bits = keys.where(F.col(name).isNotNull()).select(w.alias(word), b.alias(bit)).groupBy(word).agg(F.bit_or(bit).alias(bit))  # FILTER / 64 rows at most
+    w, b = spot(key)
+    told = df.withColumn(word, w).join(F.broadcast(bits), word, "left").withColumn(bit, F.coalesce(F.col(bit).bitwiseAND(b) != 0, F.lit(False)))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return told.where(F.col(bit)).select(*own), told.where(~F.col(bit)).select(*own)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -100,12 +153,13 @@ def with_columns(df: DataFrame, column: str, work, fields: list[tuple[str, T.Dat
     return df.mapInArrow(run, schema)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, kept: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of the edges (u, v): root is the least node of its connected component.
 
-    Large-star and small-star rounds (Kiveris et al. 2014), each a min by node and a join; a
-    checkpoint ends each round. No group is gathered; hubs are combined before the shuffle, and
-    adaptive execution splits a hub's rows in the join. No edges: no rows.
+    Large-star and small-star rounds (Kiveris et al. 2014), each a min by node and a join; a stored
+    table ends each round and replaces that of the round before. The result is kept in ``kept``. No
+    group is gathered; hubs are combined before the shuffle, and adaptive execution splits a hub's
+    rows in the join. No edges: no rows.
     """
 
     def signature(df):
@@ -115,21 +169,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         return both.join(least, "u")
 
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = signature(now)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = star(large)  # in it v < u
-        after = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        now = cut(after.where("u <> v").distinct())
-        mark = signature(now)
-        if mark == before:
-            break
-        before = mark
-    else:
-        raise RuntimeError("components did not settle")
-    own = now.select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(own).distinct()
+    with Scratch(edges.sparkSession) as scratch:
+        now = scratch.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        before = signature(now)
+        for _ in range(most_rounds):
+            if not before[0]:
+                break
+            both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            small = star(large)  # in it v < u
+            after = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+            old, now = now, scratch.keep(after.where("u <> v").distinct(), "edges")
+            scratch.drop(old)
+            mark = signature(now)
+            if mark == before:
+                break
+            before = mark
+        else:
+            raise RuntimeError("components did not settle")
+        own = now.select(F.col("v").alias("node"), F.col("v").alias("root"))
+        return kept.keep(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(own).distinct(), "components")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facematch.llm.common import cut, documents
+from facematch.llm.common import documents, stored
 
 CAPACITIES, OVERHEAD, BLOCK = (512, 1024, 2048, 4096), 16, 1 << 15
 
@@ -81,7 +81,7 @@ def best_fit(lengths: DataFrame, capacities=CAPACITIES, overhead: int = OVERHEAD
     caps = sorted({int(c) for c in capacities})
     if not caps or caps[0] < 1:
         raise ValueError("capacities must be positive")
-    own = cut(pieces(lengths, caps[-1]).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    own, _ = stored(pieces(lengths, caps[-1]).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "pieces")
     parts = own.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each task
     before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = parts.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facematch.llm.common import cut, documents
+from facematch.llm.common import documents, free_name, stored
 
 #: Fixed: the paper's multiplier, and 2 ** 64, 2 ** 33 and 2 ** 31.
 MULTIPLIER, WHOLE, UPPER, SPAN = 2862933555777941757, 1 << 64, 1 << 33, 1 << 31
@@ -42,24 +42,30 @@ def stable_key(df: DataFrame, column: str) -> Column:
 
 
 def assign(df: DataFrame, key: str = "doc_id", shards: int = 8) -> DataFrame:
-    """df with ``shard`` and ``grown_shard`` (with one more shard). A null key goes where key 0 goes; equal keys go together."""
+    """df with ``shard`` and ``grown_shard`` (with one more shard); with underscores added where df has the name.
+
+    A null key goes where key 0 goes; equal keys, of repeated rows too, go together. Texts play no
+    part. An empty table gives an empty result.
+    """
     at = F.coalesce(stable_key(df, key), F.lit(0).cast("long"))
-    return df.withColumns({"shard": jump(at, shards), "grown_shard": jump(at, shards + 1)})
+    return df.withColumns({free_name(df, "shard"): jump(at, shards), free_name(df, "grown_shard"): jump(at, shards + 1)})
 
 
 def slots(rows: DataFrame, shard: str = "shard") -> DataFrame:
-    """rows with ``slot``: 0, 1, ... without a gap in each shard.
+    """rows with ``slot`` (with underscores added where rows has it): 0, 1, ... without a gap in each shard.
 
     Rows are numbered within their task's part of a shard, and each part starts where the ones
     before it end; so no task sees a whole shard, however hot. The parts' sizes, a row for each
-    task and shard, are summed by shard. Narrow tables only: the numbering is kept once.
+    task and shard, are summed by shard. Narrow tables only: the numbering is kept once, in the
+    shared folder. Repeated rows get a slot each. An empty table gives an empty result.
     """
-    own = cut(rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
-    parts = own.groupBy("_part", shard).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = parts.select("_part", shard, F.coalesce(before, F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_part", shard).orderBy("_at")) - 1
-    return own.withColumn("_within", within).join(starts, ["_part", shard]).withColumn("slot", F.col("_start") + F.col("_within")).drop("_part", "_at", "_within", "_start")
+    at, part, many, start, within, slot = (free_name(rows, x) for x in ("at", "part", "many", "start", "within", "slot"))
+    own, _ = stored(rows.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33)), "slots")
+    parts = own.groupBy(part, shard).agg(F.count("*").alias(many))
+    before = F.sum(many).over(Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select(part, shard, F.coalesce(before, F.lit(0)).alias(start))
+    numbered = own.withColumn(within, F.row_number().over(Window.partitionBy(part, shard).orderBy(at)) - 1)
+    return numbered.join(starts, [part, shard]).withColumn(slot, F.col(start) + F.col(within)).select(*(F.col(f"`{c}`") for c in [*rows.columns, slot]))
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: int = 8) -> None:

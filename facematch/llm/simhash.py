@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facematch.llm.common import components, cut, documents, free_name, slices
+from facematch.llm.common import Scratch, components, documents, free_name, parted, slices
 
 BITS, SHINGLE, SEED, GENERATOR = 4, 4, 42, 0b101011100011
 _LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
@@ -153,30 +153,40 @@ def groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     result. Equal fingerprints, a third of all rows perhaps, are one node: they are combined
     before the shuffle, and no pairs are made of them.
     """
-    prints = cut(fingerprints(docs.select("doc_id", "text")))
-    return prints.join(_known(prints, bits).drop("root"), "fp")
+    with Scratch(docs.sparkSession) as scratch:
+        prints = scratch.result(fingerprints(docs.select("doc_id", "text")), "prints")
+        return prints.join(_known(prints, scratch, bits).drop("root"), "fp")
 
 
-def _known(prints: DataFrame, bits: int = BITS) -> DataFrame:
+def _known(prints: DataFrame, scratch: Scratch, bits: int = BITS) -> DataFrame:
     """fp, root (a fingerprint that stands for its group) and component_id of each fingerprint of prints (doc_id, fp)."""
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes.select("fp"), bits))
+    nodes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "print-nodes")
+    roots = components(links(nodes.select("fp"), bits), scratch)
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return cut(named.join(least, "root").select("fp", "root", "component_id"))
+    return scratch.result(named.join(least, "root").select("fp", "root", "component_id"), "print-groups")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document; see ``groups`` for null, empty and repeated rows."""
     out = groups(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: that with the least doc_id, of those the least fingerprint and hash of the row. Rows without a doc_id stay."""
+    """One row of each group: that with the least doc_id, of those the least fingerprint and hash of the row. Rows without a doc_id stay.
+
+    Which row stays is settled on narrow columns; only texts that may go are shuffled.
+    """
     mark = free_name(docs, "row")
     marked = docs.withColumn(mark, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    prints = cut(fingerprints(marked.select("doc_id", F.col(mark).alias("row"), "text")))
-    found = prints.where("doc_id is not null").join(_known(prints), "fp")
-    keep = found.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "row")).alias("x")).select("x.doc_id", F.col("x.row").alias(mark)).distinct()
-    named = marked.where("doc_id is not null").join(keep, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
-    return named.drop(mark).unionByName(docs.where("doc_id is null"))
+    with Scratch(spark) as scratch:
+        prints = scratch.keep(fingerprints(marked.select("doc_id", F.col(mark).alias("row"), "text")).where("doc_id is not null"), "prints")
+        found = prints.join(_known(prints, scratch), "fp")
+        keep = found.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "row")).alias("x")).select("x.doc_id", "x.row", F.lit(True).alias("kept")).distinct()
+        rows = scratch.keep(prints.groupBy("doc_id", "row").agg(F.count("*").alias("n")).join(keep, ["doc_id", "row"], "left"), "print-rows")
+        kept = scratch.result(rows.where("kept").select("doc_id", F.col("row").alias(mark)), "kept-rows")
+        others = scratch.result(rows.where("kept is null or n > 1").select("row"), "other-rows")
+    some, rest = parted(marked.where("doc_id is not null"), mark, others)
+    some = some.join(kept, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+    return rest.unionByName(some).drop(mark).unionByName(docs.where("doc_id is null"))

@@ -54,13 +54,44 @@ def test_query_runs_and_names_rows(spark, name):
 
 
 # 1
-def test_simhash_of_lines(spark):
-    lines = [" ".join(random.Random(n).choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (1, 3, 127, 400)] + [varied(40000, 5)]
-    got = {r.i: r.fp for r in line_dedup.simhashed(spark.createDataFrame(list(enumerate(lines)), "i int, line string"), "line", ["i"]).collect()}
-    for i, line in enumerate(lines):
-        h = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in sorted(set(line.split()))], "<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) * 2 > len(h)
-        assert got[i] == int(np.packbits(bits, bitorder="little").view("<i8")[0])
+def plain_blocks(form):
+    """{(kind, block): (votes, print)} of a form, without Spark's arithmetic; a block is told by the votes it holds."""
+    size, n, out = len(form), form.count(" ") + 1, {}
+    c = size.bit_length() - 1
+    for k in [c] + [c + 1] * (size >= 0.8 * 2 ** (c + 1)):
+        kinds = [1] * (k < 6 or size > 12 * n) + [0] * (k >= 6 and size <= 24 * n)
+        for chars in kinds:
+            votes = set(form.split(" ")) if not chars else {form[i : i + 4] for i in range(size - 3)}
+            out[2 * k + chars] = {x: xxhash.xxh64_intdigest(x.encode(), 42) for x in votes}
+    return out
+
+
+def test_line_blocks(spark):
+    forms = ["four", "fives", "eding enin", varied(6, 1), varied(9, 2), varied(40, 3), varied(400, 4), varied(30, 5).replace(" ", ""), "x" * 70, varied(3000, 6)]
+    got = {}
+    for r in line_dedup.blocks(spark.createDataFrame(list(enumerate(forms)), "h long, form string")).collect():
+        got.setdefault(r.h, {}).setdefault(r.block >> 32, []).append(r)
+    for h, form in enumerate(forms):
+        want = plain_blocks(form) if len(form) > 4 else {}
+        assert set(got.get(h, {})) == set(want)
+        for kind, votes in want.items():
+            rows = got[h][kind]
+            many = 8 if kind == 12 else 2 ** (kind // 2 - 4) if kind % 2 == 0 else 2 ** (kind // 2 - 1) if kind < 12 else 2 ** (kind // 2 - 3)
+            assert len({r.block for r in rows}) == len(rows) <= many and sum(r.votes for r in rows) == len(votes)
+            assert sum(r.letters for r in rows) == sum(map(len, votes))
+            if len(rows) == 1:  # all votes are in it
+                bits = [sum(v >> i & 1 for v in votes.values()) * 2 > len(votes) for i in range(56)]
+                assert rows[0].print == sum(1 << i for i, on in enumerate(bits) if on)
+            for r in rows:
+                if r.votes == 1:
+                    assert r.print in {v % 2**56 for v in votes.values()}
+
+
+def test_lines_of_one_hash_are_told_apart(spark):
+    docs = frame(spark, ["one line here\nanother one there", "one line here\nsomething else altogether", "one line here!"])
+    got = {r.d: r.removed for r in line_dedup.removals(docs, forms_hash=lambda form: F.lit(7).cast("long")).collect()}
+    want = {r.d: r.removed for r in line_dedup.removals(docs).collect()}
+    assert got == want and sorted(want.values()) == [[0], [0]]
 
 
 def test_line_dedup(spark):
