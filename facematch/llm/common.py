@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,11 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, what: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+def stored(df: DataFrame, what: str, codec: str = "zstd", **options: str) -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read again, and its path for ``dropped``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).options(**options).parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path), path
@@ -59,7 +60,7 @@ class Scratch:
     """Tables kept in the shared folder while a job runs; leaving the ``with`` block deletes those that ``keep`` wrote.
 
     Lost executors lose none of them, and they cut the lineage. Shuffle files of plans that are done
-    with go as well, as soon as the driver's garbage is collected.
+    with go when the driver's garbage is collected, which ``swept`` asks for.
     """
 
     def __init__(self, spark: SparkSession):
@@ -70,10 +71,11 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         dropped(self.spark, *self.paths.values())
+        self.swept()
 
-    def keep(self, df: DataFrame, what: str = "table") -> DataFrame:
-        """df, computed once; until the block ends or ``drop`` is told of it."""
-        out, path = stored(df, what)
+    def keep(self, df: DataFrame, what: str = "table", **options: str) -> DataFrame:
+        """df, computed once; until the block ends or ``drop`` is told of it. options: of the Parquet writer."""
+        out, path = stored(df, what, **options)
         self.paths[id(out)] = path
         out._scratch = self  # it lives as long as its id is known
         return out
@@ -82,6 +84,11 @@ class Scratch:
         for df in dfs:
             dropped(self.spark, self.paths.pop(id(df)))
 
+    def swept(self) -> None:
+        """Lets Spark delete the shuffle files of plans that are done with, after a large table was kept."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def result(self, df: DataFrame, what: str = "result") -> DataFrame:
         """df, computed once, to stay when the block ends; it goes when the driver ends."""
         return stored(df, what)[0]

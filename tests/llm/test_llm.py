@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import struct
 
 import numpy as np
@@ -61,7 +62,7 @@ def plain_blocks(form):
     for k in [c] + [c + 1] * (size >= 0.8 * 2 ** (c + 1)):
         kinds = [1] * (k < 6 or size > 12 * n) + [0] * (k >= 6 and size <= 24 * n)
         for chars in kinds:
-            votes = set(form.split(" ")) if not chars else {form[i : i + 4] for i in range(size - 3)}
+            votes = {x for x in form.split(" ") if len(x) >= 4} if not chars else {form[i : i + 4] for i in range(size - 3)}
             out[2 * k + chars] = {x: xxhash.xxh64_intdigest(x.encode(), 42) for x in votes}
     return out
 
@@ -70,13 +71,13 @@ def test_line_blocks(spark):
     forms = ["four", "fives", "eding enin", varied(6, 1), varied(9, 2), varied(40, 3), varied(400, 4), varied(30, 5).replace(" ", ""), "x" * 70, varied(3000, 6)]
     got = {}
     for r in line_dedup.blocks(spark.createDataFrame(list(enumerate(forms)), "h long, form string")).collect():
-        got.setdefault(r.h, {}).setdefault(r.block >> 32, []).append(r)
+        got.setdefault(r.h, {}).setdefault(r.kind, []).append(r)
     for h, form in enumerate(forms):
-        want = plain_blocks(form) if len(form) > 4 else {}
+        want = {k: v for k, v in plain_blocks(form).items() if v} if len(form) > 4 else {}
         assert set(got.get(h, {})) == set(want)
         for kind, votes in want.items():
             rows = got[h][kind]
-            many = 8 if kind == 12 else 2 ** (kind // 2 - 4) if kind % 2 == 0 else 2 ** (kind // 2 - 1) if kind < 12 else 2 ** (kind // 2 - 3)
+            many = 2 ** (kind // 2) // (8 if kind == 12 else 24 if kind % 2 == 0 else 2 if kind < 12 else 8)
             assert len({r.block for r in rows}) == len(rows) <= many and sum(r.votes for r in rows) == len(votes)
             assert sum(r.letters for r in rows) == sum(map(len, votes))
             if len(rows) == 1:  # all votes are in it
@@ -227,6 +228,74 @@ def test_rules_keep_prose_and_reject_junk(spark):
     assert all(got[i].kept for i in range(60)) and not any(got[i].kept for i in range(60, 68))
 
 
+def plain_em(votes, rounds=2000):
+    """The posteriors of each document of votes (lists of -1, 0, 1) by expectation-maximisation, one document at a time."""
+    good = [(sum(v == 1 for v in x) + 0.5) / (sum(v != 0 for v in x) + 1) for x in votes]
+    for _ in range(rounds):
+        share = (sum(good) + 1) / (len(votes) + 2)
+        right = []
+        for j in range(len(votes[0])):
+            a = sum(g for x, g in zip(votes, good, strict=True) if x[j] == 1), sum(g for x, g in zip(votes, good, strict=True) if x[j])
+            b = sum(1 - g for x, g in zip(votes, good, strict=True) if x[j] == -1), sum(1 - g for x, g in zip(votes, good, strict=True) if x[j])
+            right.append(((a[0] + 4) / (a[1] + 5), (b[0] + 4) / (b[1] + 5)))
+        good = []
+        for x in votes:
+            up, down = share, 1 - share
+            for v, (a, b) in zip(x, right, strict=True):
+                up, down = (up * a, down * (1 - b)) if v == 1 else (up * (1 - a), down * b) if v else (up, down)
+            good.append(up / (up + down))
+    return good
+
+
+def test_rules_equal_a_plain_em():
+    draw = random.Random(8)
+    texts = [[draw.choices((1, 0, -1), (0.9, 0.05, 0.05) if i % 4 else (0.3, 0.1, 0.6))[0] for _ in quality_rules.RULES] for i in range(120)]
+    code = lambda x: sum((v + 1) * 3 ** (len(x) - 1 - i) for i, v in enumerate(x))
+    assert [quality_rules.votes_of(code(x)) for x in texts] == texts
+    counts = {}
+    for x in texts:
+        counts[code(x)] = counts.get(code(x), 0) + 1
+    got = quality_rules.fit(counts, 2000)
+    want = plain_em(texts)
+    assert max(abs(got[code(x)] - g) for x, g in zip(texts, want, strict=True)) < 1e-6
+    kept = [g >= 0.5 for g in want]
+    assert sum(k == bool(i % 4) for i, k in enumerate(kept)) >= 117  # the classes drawn are found again
+    assert any(k and -1 in x for k, x in zip(kept, texts, strict=True)) and quality_rules.fit({}) == {}
+
+
+def test_one_bad_vote_does_not_reject(spark):
+    prose = [" ".join(varied(12, 10 * i + j).capitalize() + "." for j in range(10)) for i in range(60)]
+    junk = ["".join(f"{w}%%% " for w in varied(80, 900 + i).split()) for i in range(9)] + [" | ".join(varied(60, 800 + i).split()) for i in range(9)]
+    loud = "! ".join(varied(90, 700).split()) + "!"  # the exclaims rule alone votes bad
+    one = quality_rules.votes_of(quality_rules.measure(loud.encode())[5])
+    assert one.count(-1) == 1
+    got = {r.doc_id: r.quality_ for r in quality_rules.judge(frame(spark, [*prose, loud, *junk])).collect()}
+    assert got[60].kept and got[60].posterior > 0.5 and not any(got[61 + i].kept for i in range(18)) and all(got[i].kept for i in range(60))
+
+
+def brute_base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines, seen, dup = (text or "").split("\n"), set(), 0
+    for line in lines:
+        dup += line in seen and bool(re.search(r"[^\x20\x09-\x0D]", line))
+        seen.add(line)
+    spots, windows = set(), [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    for i, w in enumerate(windows):
+        if windows.count(w) > 1:
+            spots |= {i, i + 1, i + 2}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(spots)
+
+
+def test_rules_query_equals_brute_force(spark, tmp_path):
+    texts = [None, "", " \n", "a b c a b c", "x\n\nx\n \nx | y", "é\u3000ü # é\u3000ü", varied(60, 5), varied(120, 6) + "\n" + varied(120, 6), "ab " * 60, varied(49, 7), varied(50, 7)]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in quality_rules.op4_quality_rules(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        want, r = brute_base(t), got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and r.kept == (not r.base_failed and r.posterior >= 0.5)
+
+
 # 5
 def brute_repeats(texts):
     seen, out = set(), []
