@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from facematch.functions.images import fit_pixels
+
 DIM = 512
 
 
@@ -100,6 +102,56 @@ def stub_vector(image: np.ndarray, salt: str = "", dim: int = DIM) -> np.ndarray
     return normalized(v)
 
 
+def pattern(key: int, width: int, height: int) -> np.ndarray:
+    """A picture that a number decides, for trying things out."""
+    y, x, c = np.meshgrid(np.arange(height), np.arange(width), np.arange(3), indexing="ij")
+    return ((key * 7 + x * 31 + y * 17 + c * 5) % 256).astype(np.uint8)
+
+
+def _of_bytes(width: int, height: int, work):
+    """A function of columns from the bytes of pictures of one size to the bytes of what ``work`` makes of them."""
+
+    @F.pandas_udf("binary")
+    def run(blob: pd.Series) -> pd.Series:
+        return blob.map(lambda b: None if b is None else work(np.frombuffer(b, np.uint8).reshape(height, width, 3)).tobytes())
+
+    return run
+
+
+def pattern_udf(width: int, height: int):
+    @F.pandas_udf("binary")
+    def run(key: pd.Series) -> pd.Series:
+        return key.map(lambda k: pattern(int(k), width, height).tobytes())
+
+    return run
+
+
+def resize_udf(width: int, height: int, to_width: int, to_height: int):
+    return _of_bytes(width, height, lambda x: resize_bilinear(x, to_width, to_height))
+
+
+def align_udf(width: int, height: int, m, size: int):
+    return _of_bytes(width, height, lambda x: align_face(x, m, size))
+
+
+def fit_udf(width: int, height: int, most: int):
+    """width, height and whether all pixels are near those of the slope that the picture is, but for its edge."""
+
+    @F.pandas_udf("width int, height int, near boolean")
+    def run(key: pd.Series) -> pd.DataFrame:
+        y, x = np.meshgrid(np.arange(height), np.arange(width), indexing="ij")
+        rows = []
+        for k in key:
+            image = np.repeat((40 + int(k) % 20 + 6 * x + 4 * y)[..., None], 3, 2).astype(np.uint8)
+            small = fit_pixels(image, most)
+            v, u = np.meshgrid((np.arange(small.shape[0]) + 0.5) * height / small.shape[0] - 0.5, (np.arange(small.shape[1]) + 0.5) * width / small.shape[1] - 0.5, indexing="ij")
+            gap = np.abs(small[..., 0] - (40 + int(k) % 20 + 6 * u + 4 * v))[2:-2, 2:-2]
+            rows.append((small.shape[1], small.shape[0], bool((gap <= 1.1).all())))
+        return pd.DataFrame(rows, columns=["width", "height", "near"])
+
+    return run
+
+
 def stub_udf(dim: int = DIM):
     """The stub vector of a grey pixel, salted with the path."""
 

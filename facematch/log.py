@@ -36,3 +36,17 @@ class Formatter(logging.Formatter):
         if self.colour:
             level = f"\x1b[{COLOURS.get(record.levelno, 0)}m{level}\x1b[0m"
         return " ".join([self.formatTime(record, "%H:%M:%S"), level, record.getMessage(), *flat(getattr(record, "fields", {}))])
+
+
+def logger() -> logging.Logger:
+    return logging.getLogger("facematch")
+
+
+def set_up(level: str = "info", colour: str = "auto", stream=sys.stderr) -> logging.Logger:
+    """The library's logger, writing to stream from ``level`` on."""
+    handler = logging.StreamHandler(stream)
+    handler.setFormatter(Formatter(use_colour(colour, stream)))
+    out = logger()
+    out.handlers[:] = [handler]
+    out.setLevel(parse_level(level))
+    return out

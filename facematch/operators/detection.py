@@ -41,30 +41,49 @@ def split_concat(raw: DataFrame, size: int = 640) -> DataFrame:
 
 
 def decode_boxes(raw: DataFrame, size: int = 640) -> DataFrame:
-    """raw (stride, anchor_idx, dx, dy, dw, dh, width, height) with x1, y1, x2, y2 in pixels of the image."""
+    """raw (stride, anchor_idx, dx, dy, dw, dh, width, height) with x1, y1, x2, y2 in pixels of the image.
+
+    The box is exploded from an array of one, so that conditions on it don't work it out again.
+    """
     a = anchor(F.col("stride"), F.col("anchor_idx"), size)
     cx = (a["cx"] + F.col("dx") * CENTRE_VARIANCE * a["sx"]) * F.col("width")
     cy = (a["cy"] + F.col("dy") * CENTRE_VARIANCE * a["sy"]) * F.col("height")
     w = a["sx"] * F.exp(F.col("dw") * SIZE_VARIANCE) * F.col("width")
     h = a["sy"] * F.exp(F.col("dh") * SIZE_VARIANCE) * F.col("height")
-    return raw.withColumns({"x1": cx - w / 2, "y1": cy - h / 2, "x2": cx + w / 2, "y2": cy + h / 2})
+    sized = raw.select("*", cx.alias("_cx"), cy.alias("_cy"), w.alias("_w"), h.alias("_h"))
+    box = F.struct(*((F.col(f"_c{k}") + s * F.col(f"_{e}") / 2).alias(f"{k}{i}") for i, s in ((1, -1), (2, 1)) for k, e in (("x", "w"), ("y", "h"))))
+    return sized.select(*raw.columns, F.inline(F.array(box)))
 
 
 def decode_landmarks(raw: DataFrame, baked: bool = True, size: int = 640) -> DataFrame:
     """raw (with lm, five raw struct(x, y)) with landmarks in pixels; baked: the model has applied the variance."""
     a = anchor(F.col("stride"), F.col("anchor_idx"), size)
     k = 1.0 if baked else CENTRE_VARIANCE
-    with_anchor = raw.withColumn("_a", F.struct(*(a[x].alias(x) for x in ("cx", "cy", "sx", "sy"))))
-    point = lambda p: F.struct(((F.col("_a.cx") + p["x"] * k * F.col("_a.sx")) * F.col("width")).alias("x"), ((F.col("_a.cy") + p["y"] * k * F.col("_a.sy")) * F.col("height")).alias("y"))
-    return with_anchor.withColumn("landmarks", F.transform("lm", point)).drop("_a")
+    with_anchor = raw.withColumns({f"_{x}": a[x] for x in ("cx", "cy", "sx", "sy")})
+    place = lambda p, i, edge: (F.col(f"_c{i}") + p[i] * k * F.col(f"_s{i}")) * F.col(edge)
+    points = [F.struct(place(F.col("lm")[j], "x", "width").alias("x"), place(F.col("lm")[j], "y", "height").alias("y")) for j in range(5)]
+    return with_anchor.select(*raw.columns, F.inline(F.array(F.struct(F.array(*points).alias("landmarks")))))
 
 
 def quality(with_landmarks: bool = True) -> Column:
     """Faces of MIN_FACE pixels an edge, no more than twice as wide as high or the reverse, their landmarks inside but for a margin."""
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     fine = (w >= MIN_FACE) & (h >= MIN_FACE) & F.when(h > 0, (w / h).between(0.5, 2.0)).otherwise(False)
-    inside = F.forall("landmarks", lambda p: p["x"].between(F.col("x1") - w * MARGIN, F.col("x2") + w * MARGIN) & p["y"].between(F.col("y1") - h * MARGIN, F.col("y2") + h * MARGIN)) if with_landmarks else F.lit(True)
-    return fine & inside
+    if not with_landmarks:
+        return fine
+    for i in range(5):  # five plain conditions, as lambdas aren't compiled
+        p = F.col("landmarks")[i]
+        fine = fine & p["x"].between(F.col("x1") - w * MARGIN, F.col("x2") + w * MARGIN) & p["y"].between(F.col("y1") - h * MARGIN, F.col("y2") + h * MARGIN)
+    return fine
+
+
+def quality_faces(raw: DataFrame, least: float = 0.5, baked: bool = True, size: int = 640) -> DataFrame:
+    """raw (see ``decode_boxes`` and ``decode_landmarks``, and score) of ``least`` or more with boxes and landmarks, where ``quality`` holds.
+
+    Boxes that fail on their own go before any landmark is decoded.
+    """
+    boxes = decode_boxes(raw.where(F.col("score") >= least), size).where(quality(False))
+    return decode_landmarks(boxes, baked, size).where(quality())
 
 
 def iou(a, b) -> Column:

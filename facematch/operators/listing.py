@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facematch.functions.paths import EXTENSIONS, basename, components, dirname, extension, matches_glob
+from facematch.shared import shared_dir
 
 
 def wanted_extension(path: Column, extensions=()) -> Column:
@@ -34,10 +33,7 @@ def dir_transitions(listing: DataFrame) -> DataFrame:
     Paths are dealt by ranges; a range's first path is held against the last one of the range
     before, so no task sees all. The ranges are drawn once, which is why they are kept.
     """
-    spark = listing.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="facematch-"))
+    shared_dir(listing.sparkSession)
     rows = listing.select("path", dirname(F.col("path")).alias("dir")).repartitionByRange("path").withColumn("part", F.spark_partition_id()).checkpoint()
     ends = rows.groupBy("part").agg(F.max(F.struct("path", "dir")).alias("end"))  # a row for each range
     before = ends.select("part", F.lag("end.dir").over(Window.partitionBy(F.lit(0)).orderBy("part")).alias("old"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from facematch.assets import valid_bytes
 from facematch.functions import pixels
 from facematch.functions.paths import basename, parse_extensions, relative
 from facematch.functions.vectors import cosine_distance, l2_normalize
@@ -182,7 +183,10 @@ def cache_upsert(spark, sf_dir):
     return cache.upserted(fx.cache(spark, sf_dir), items)
 
 
-@query("file_hash")
+LE = "unhex(list_aggregate(list_transform(range(7, -1, -1), lambda i: substr(lpad(hex({0}), 16, '0'), i * 2 + 1, 2)), 'string_agg', ''))"
+
+
+@query("file_hash", f"WITH {fx.LISTING_SQL} SELECT path, sha1(encode(path) || {LE.format('size')} || {LE.format('mtime_ns')}) AS hash FROM listing")
 def file_hash(spark, sf_dir):
     return fx.listing(spark, sf_dir).select("path", cache.file_hash(F.col("path"), F.col("size"), F.col("mtime_ns")).alias("hash"))
 
@@ -199,12 +203,57 @@ def stub_embed(spark, sf_dir):
     return fx.listing(spark, sf_dir).select("path", pixels.stub_udf()("path").alias("v")).select("path", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("norm2"))
 
 
-@query("fit_dimensions", "WITH o AS (SELECT o_orderkey, 1 + o_custkey % 4000 AS w, 1 + o_orderkey % 3000 AS h FROM orders) SELECT o_orderkey, CASE WHEN greatest(w, h) <= 1280 THEN w WHEN w >= h THEN 1280 ELSE greatest(1, floor(w * (1280.0::DOUBLE / h) + 0.5)) END::INT AS width, CASE WHEN greatest(w, h) <= 1280 THEN h WHEN w >= h THEN greatest(1, floor(h * (1280.0::DOUBLE / w) + 0.5)) ELSE 1280 END::INT AS height FROM o")
+@query("fit_dimensions", "WITH o AS (SELECT o_orderkey, 1 + o_custkey % 4000 AS w, 1 + o_orderkey % 3000 AS h FROM orders) SELECT o_orderkey, CASE WHEN greatest(w, h) <= 1280 THEN w WHEN w > h THEN 1280 ELSE greatest(1, floor(1280 * (w::DOUBLE / h))) END::INT AS width, CASE WHEN greatest(w, h) <= 1280 THEN h WHEN w > h THEN greatest(1, floor(1280 / (w::DOUBLE / h))) ELSE 1280 END::INT AS height FROM o")
 def fit_dimensions(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders")
     return o.select("o_orderkey", geometry.fit(1 + F.col("o_custkey") % 4000, 1 + F.col("o_orderkey") % 3000, 1280).alias("d")).select("o_orderkey", "d.*")
 
 
+def _sampled(sx: str, sy: str, w: int, h: int) -> str:
+    """SQL for a bilinear sample of channel c of the picture of doc_id, w by h, at sx, sy."""
+    px = lambda x, y: f"(((doc_id * 7 + {x} * 31 + {y} * 17 + c * 5) % 256) * 257)"
+    x0, y0 = f"least(greatest(floor({sx}), 0), {w - 2})", f"least(greatest(floor({sy}), 0), {h - 2})"
+    fx_, fy_ = f"({sx} - {x0})", f"({sy} - {y0})"
+    row = lambda y: f"({px(x0, y)} * (1 - {fx_}) + {px(f'({x0} + 1)', y)} * {fx_})"
+    return f"floor(least(greatest({row(y0)} * (1 - {fy_}) + {row(f'({y0} + 1)')} * {fy_}, 0), 65535) / 256)::INT"
+
+
+def _pictures(spark, sf_dir, width: int, height: int):
+    """doc_id and the pixels (RGB bytes) of a picture for each document."""
+    return fx.table(spark, sf_dir, "documents").select("doc_id", pixels.pattern_udf(width, height)("doc_id").alias("pixels"))
+
+
+def _channels(df, width: int, height: int):
+    """doc_id, x, y, c and v of each byte of pixels."""
+    at = df.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(width * height * 3)), lambda i: F.conv(F.hex(F.substring("pixels", i, F.lit(1))), 16, 10).cast("int"))).alias("i", "v"))
+    return at.select("doc_id", F.expr(f"i div 3 % {width}").cast("int").alias("x"), F.expr(f"i div {3 * width}").cast("int").alias("y"), (F.col("i") % 3).cast("int").alias("c"), "v")
+
+
+GRID = "(SELECT doc_id, x, y, c FROM documents, (SELECT unnest(range(0, {0}))::INT AS x), (SELECT unnest(range(0, {1}))::INT AS y), (SELECT unnest(range(0, 3))::INT AS c))"
+
+
+@query("resize_bilinear", f"SELECT doc_id, x, y, c, {_sampled('((x + 0.5::DOUBLE) * 7 / 4 - 0.5)', '((y + 0.5::DOUBLE) * 5 / 3 - 0.5)', 7, 5)} AS v FROM {GRID.format(4, 3)}")
+def resize_bilinear(spark, sf_dir):
+    return _channels(_pictures(spark, sf_dir, 7, 5).withColumn("pixels", pixels.resize_udf(7, 5, 4, 3)("pixels")), 4, 3)
+
+
+@query("align_face", f"SELECT doc_id, x, y, c, {_sampled('((0.5::DOUBLE * (x - 1) - 0.25 * (y - 2)) / 0.3125)', '((0.5::DOUBLE * (y - 2) + 0.25 * (x - 1)) / 0.3125)', 12, 9)} AS v FROM {GRID.format(4, 4)}")
+def align_face(spark, sf_dir):
+    return _channels(_pictures(spark, sf_dir, 12, 9).withColumn("pixels", pixels.align_udf(12, 9, (0.5, 0.25, 1.0, -0.25, 0.5, 2.0), 4)("pixels")), 4, 4)
+
+
+@query("fit_pixels", "SELECT doc_id, 14 AS width, 10 AS height, true AS near FROM documents")
+def fit_pixels(spark, sf_dir):
+    """A smooth picture of 21 by 15 keeps its values when brought down to 14: each is near the slope's."""
+    return fx.table(spark, sf_dir, "documents").select("doc_id", pixels.fit_udf(21, 15, 14)("doc_id").alias("r")).select("doc_id", "r.*")
+
+
+@query("asset_validity", "SELECT doc_id, octet_length(encode(text)) >= 300 AND octet_length(encode(text)) > 0 AND left(text, 1) = upper(left(text, 1)) AS fine FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[A-Za-z]')")
+def asset_validity(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents").where("text rlike '^[A-Za-z]'")
+    return docs.select("doc_id", valid_bytes(F.encode("text", "utf-8"), 300, F.encode(F.upper(F.substring("text", 1, 1)), "utf-8")).alias("fine"))
+
+
 @query("prior_boxes", """SELECT s AS stride, i AS anchor_idx, ((i // 2) % (640 // s) + 0.5) * s / 640 AS cx, ((i // 2) // (640 // s) + 0.5) * s / 640 AS cy, (s * s // 4 * (1 + i % 2)) / 640.0::DOUBLE AS sx, (s * s // 4 * (1 + i % 2)) / 640.0::DOUBLE AS sy
 FROM (SELECT s, unnest(range(0, 2 * (640 // s) * (640 // s))) AS i FROM (SELECT unnest([8, 16, 32]) AS s))""")
 def prior_boxes(spark, sf_dir):
@@ -246,8 +295,7 @@ INSIDE = " AND ".join(f"lx{i} BETWEEN x1 - w * 0.1 AND x2 + w * 0.1 AND ly{i} BE
 
 @query("det_quality_filter", f"WITH {fx.RAW_SQL} SELECT image, line FROM decoded WHERE score >= 0.5 AND x2 - x1 >= 50 AND y2 - y1 >= 50 AND (x2 - x1) / (y2 - y1) BETWEEN 0.5 AND 2.0 AND {INSIDE}")
 def det_quality_filter(spark, sf_dir):
-    faces = detection.decode_landmarks(detection.decode_boxes(fx.raw(spark, sf_dir).where("score >= 0.5")))
-    return faces.where(detection.quality()).select("image", "line")
+    return detection.quality_faces(fx.raw(spark, sf_dir)).select("image", "line")
 
 
 IOU = "(CASE WHEN least({a}.x2, {b}.x2) > greatest({a}.x1, {b}.x1) AND least({a}.y2, {b}.y2) > greatest({a}.y1, {b}.y1) THEN (least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * (least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1)) / (({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) + ({b}.x2 - {b}.x1) * ({b}.y2 - {b}.y1) - (least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * (least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))) ELSE 0 END)::FLOAT"
@@ -299,5 +347,5 @@ def _affine_sql() -> str:
 @query("solve_affine", _affine_sql())
 def solve_affine(spark, sf_dir):
     pts = F.array(*(F.struct((F.lit(x) + F.col("l_quantity") * (i % 3)).alias("x"), (F.lit(y) + (F.col("l_partkey") % 17) * ((i + 1) % 2)).alias("y")) for i, (x, y) in enumerate(geometry.TEMPLATE)))
-    out = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", geometry.solve_affine(pts).alias("m"))
+    out = geometry.with_affine(fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey"), pts)
     return out.select("l_orderkey", "l_linenumber", *(F.round(F.col("m")[c], 4).alias(c) for c in "abcdef"))

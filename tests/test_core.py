@@ -99,10 +99,10 @@ def test_nms_only_kept_boxes_suppress(spark):
 
 def test_affine(spark):
     points = F.array(*(F.struct(F.lit(2 * x + 3).alias("x"), F.lit(2 * y - 1).alias("y")) for x, y in geometry.TEMPLATE))
-    m = spark.range(1).select(geometry.solve_affine(points).alias("m")).first().m
+    m = geometry.with_affine(spark.range(1), points).first().m
     assert np.allclose(m, [0.5, 0, -1.5, 0, 0.5, 0.5], atol=1e-6)
     same = F.array(*(F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y")) for _ in range(5)))
-    assert spark.range(1).select(geometry.solve_affine(same).alias("m")).first().m is None
+    assert geometry.with_affine(spark.range(1), same).first().m is None
 
 
 def test_file_hash_bytes(spark):
