@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facematch.shared import shared_dir
+
 #: White space that parts words, as bytes.split() has it: 0x20 and 0x09 to 0x0D.
 SPACES = b" \t\n\r\x0b\x0c"
 
@@ -25,20 +27,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if
-    the driver does all work itself, as in tests; else an error, as executors wouldn't see it."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="facematch-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
 def stored(df: DataFrame, what: str, codec: str = "zstd", **options: str) -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read again, and its path for ``dropped``."""
     spark = df.sparkSession
@@ -86,8 +74,10 @@ class Scratch:
 
     def swept(self) -> None:
         """Lets Spark delete the shuffle files of plans that are done with, after a large table was kept."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first one finds may free more
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
 
     def result(self, df: DataFrame, what: str = "result") -> DataFrame:
         """df, computed once, to stay when the block ends; it goes when the driver ends."""
