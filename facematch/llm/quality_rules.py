@@ -4,26 +4,35 @@ Each rule votes good, votes bad or abstains on a text. Votes of all documents ar
 pattern (at most 3 ** len(RULES) of them, whatever the input), expectation-maximisation over
 these counts estimates each rule's accuracy on good and on bad texts and the share of good
 ones, and a document's verdict is its posterior probability of being good.
+
+The model takes rules as independent, so it trusts what several rules say alike and learns that
+a rule is wrong where it stands alone. So each kind of junk has three rules or more that see it.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facematch.llm.common import documents, free_name, with_columns
+from facematch.llm.common import documents, free_name, stored, with_columns
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Rules are laid out so that a good text gets a bad vote from each less often than this.
-MOST_WRONG = 0.002
+#: Votes that each rule is taken to have cast before, in either class: right and wrong ones.
+PRIOR = (4.0, 1.0)
 UPPER, LOWER, DIGITS = (bytes(range(a, b)) for a, b in ((65, 91), (97, 123), (48, 58)))
 CONTINUATION = bytes(range(0x80, 0xC0))
+#: Words that hold a symbol; words of marks alone; the same mark twice or more in a row.
+MARKED = re.compile(rb"[^\s#*$%&|<>]*[#*$%&|<>]\S*")
+BARE = re.compile(rb"(?<!\S)[^\s0-9A-Za-z\x80-\xff]+(?!\S)")
+RUN = re.compile(rb"([^\s0-9A-Za-z\x80-\xff])\1+")
 
 
 def _share(bad, good):
@@ -35,25 +44,27 @@ def _least(bad, good):
     return lambda x: -1 if x <= bad else 1 if x >= good else 0
 
 
-#: name, measure, rule. All measures are shares that don't depend on a text's length or language.
+#: name and rule, in the order of ``measure``'s values, which are shares that don't depend on a text's length or language.
 RULES = (
     ("symbols", _share(0.10, 0.02)),
+    ("marked words", _share(0.10, 0.02)),
+    ("bare marks", _share(0.10, 0.02)),
+    ("runs of marks", _share(0.10, 0.02)),
     ("repeats", _share(0.45, 0.20)),
     ("dup_lines", _share(0.45, 0.20)),
+    ("commonest word", _share(0.30, 0.15)),
+    ("variety", _least(0.12, 0.25)),
     ("shouting", _share(0.30, 0.15)),
     ("exclaims", _share(0.15, 0.04)),
     ("letters", _least(0.70, 0.85)),
-    ("variety", _least(0.12, 0.25)),
-    ("length", _least(49, 80)),
     ("word_size", lambda x: 1 if 3.0 <= x <= 12.0 else -1 if x < 2.0 or x > 20.0 else 0),
-    ("sentences", lambda x: 1 if x >= 0.02 else 0),
 )
 
 
 def measure(text: bytes | None) -> tuple[int, int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, code (the votes in base 3).
 
-    Null counts as empty; a text without words abstains on every share but the length.
+    Null counts as empty; on a text without words all rules abstain.
     """
     text = text or b""
     words = text.split()
@@ -70,10 +81,10 @@ def measure(text: bytes | None) -> tuple[int, int, int, int, int, int]:
     word_chars = len(solid) - (len(solid) - len(solid.translate(None, CONTINUATION)))
     triples = list(zip(words, words[1:], words[2:], strict=False))
     repeats = 0
-    if len(counts := Counter(triples)) < len(triples):
+    if len(seen_triples := Counter(triples)) < len(triples):
         last = -1  # the last word position counted
         for i, x in enumerate(triples):
-            if counts[x] > 1:
+            if seen_triples[x] > 1:
                 repeats += i + 3 - max(i, last)
                 last = i + 3
     votes = [0] * len(RULES)
@@ -81,21 +92,22 @@ def measure(text: bytes | None) -> tuple[int, int, int, int, int, int]:
         upper, lower = (len(solid) - len(solid.translate(None, x)) for x in (UPPER, LOWER))
         letters = upper + lower + (len(solid) - len(solid.translate(None, bytes(range(0xC3, 0xF5)))))
         filled = sum(1 for x in lines if x.strip()) if len(lines) > 1 else 1
+        counts = Counter(words)
         values = (
             symbols / n,
+            len(MARKED.findall(text)) / n if symbols else 0.0,
+            len(BARE.findall(text)) / n,
+            len(RUN.findall(text)) / n,
             repeats / n,
             dup_lines / filled,
+            max(counts.values()) / n if n >= 20 else 0.0,
+            len(counts) / n * max(1.0, math.log10(n / 100 + 1) * 2),
             upper / max(1, upper + lower),
             solid.count(b"!") / n,
             letters / max(1, word_chars),
-            len(set(words)) / n * max(1.0, math.log10(n / 100 + 1) * 2),
-            n,
             word_chars / n,
-            (solid.count(b".") + solid.count(b"?") + solid.count(b"!")) / n,
         )
         votes = [rule(x) for (_, rule), x in zip(RULES, values, strict=True)]
-    else:
-        votes[[x for x, _ in RULES].index("length")] = -1
     code = 0
     for v in votes:
         code = code * 3 + v + 1
@@ -113,45 +125,34 @@ def votes_of(code: int) -> list[int]:
     return out[::-1]
 
 
-def fit(patterns: dict[int, int], rounds: int = 100) -> dict[int, float]:
+def fit(patterns: dict[int, int], rounds: int = 500) -> dict[int, float]:
     """The posterior probability of good for each vote pattern, by expectation-maximisation.
 
-    Two classes; given the class, rules vote independently, with a probability of a good vote of
-    their own for either class (among their votes; abstaining tells nothing). The start holds a
-    pattern with a bad vote for bad. A bad vote has a probability of MOST_WRONG at most on a good
-    text, and ten times that of a good text at least on a bad one. No patterns: no posteriors.
+    Two classes; given the class, rules vote independently, each right with a probability of its
+    own in either class (among its votes; abstaining tells nothing), with PRIOR as if seen before.
+    The start takes the share of good votes as the probability. No patterns: no posteriors.
     """
     codes = sorted(patterns)
-    votes = [votes_of(c) for c in codes]
-    weight = [patterns[c] for c in codes]
-    good = [0.05 if -1 in v else 0.95 for v in votes]
-    k, total = len(RULES), sum(weight) or 1
-    for _ in range(rounds):
-        share = min(0.999, max(0.001, sum(w * g for w, g in zip(weight, good, strict=True)) / total))
-        rates = []
-        for j in range(k):
-            seen = [[0.5, 0.01], [1.0, 1.0]]  # [class good, bad][vote good, bad], as if seen before
-            for v, w, g in zip(votes, weight, good, strict=True):
-                if v[j]:
-                    seen[0][v[j] < 0] += w * g
-                    seen[1][v[j] < 0] += w * (1 - g)
-            a, b = (x[1] / sum(x) for x in seen)  # of a bad vote
-            rates.append((a := min(max(a, 1e-4), MOST_WRONG), min(0.5, max(b, 10 * a))))
-        new = []
-        for v in votes:
-            odds = math.log(share / (1 - share))
-            for x, (a, b) in zip(v, rates, strict=True):
-                if x:
-                    odds += math.log(a / b) if x < 0 else math.log((1 - a) / (1 - b))
-            new.append(1 / (1 + math.exp(-max(-60.0, min(60.0, odds)))))
-        if max((abs(x - y) for x, y in zip(new, good, strict=True)), default=0) < 1e-9:
-            good = new
+    votes = np.array([votes_of(c) for c in codes], np.int8).reshape(len(codes), len(RULES))
+    weight = np.array([patterns[c] for c in codes], np.float64)
+    up, down = (votes > 0).astype(np.float64), (votes < 0).astype(np.float64)
+    good = (up.sum(1) + 0.5) / ((up + down).sum(1) + 1)
+    right, wrong = PRIOR
+    for _ in range(rounds if codes else 0):
+        on_good, on_bad = weight * good, weight * (1 - good)
+        share = (on_good.sum() + 1) / (weight.sum() + 2)
+        of_good = (on_good @ up + right) / (on_good @ (up + down) + right + wrong)  # right votes, by rule
+        of_bad = (on_bad @ down + right) / (on_bad @ (up + down) + right + wrong)
+        odds = np.log(share / (1 - share)) + up @ np.log(of_good / (1 - of_bad)) + down @ np.log((1 - of_good) / of_bad)
+        new = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+        moved, good = np.abs(new - good).max(), new
+        if moved < 1e-9:
             break
-        good = new
-    return dict(zip(codes, good, strict=True))
+    return dict(zip(codes, good.tolist(), strict=True))
 
 
 def measured(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
+    """df with the columns FIELDS, their names after ``prefix``."""
     names = [prefix + x for x in FIELDS]
 
     def work(texts):
@@ -160,42 +161,41 @@ def measured(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     return with_columns(df, text, work, [(x, T.LongType()) for x in names])
 
 
-def judge(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
+def _verdict(m: dict, name: str, least: float):
+    """The struct ``name`` of measures and posterior."""
+    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+    return F.struct(*(m[x].alias(x) for x in FIELDS[:-1]), m["posterior"].alias("posterior"), failed.alias("base_failed"), (~failed & (m["posterior"] >= least)).alias("kept")).alias(name)
+
+
+def judge(df: DataFrame, text: str = "text", least: float = 0.5, texts: bool = True) -> DataFrame:
     """df with one struct column ``quality`` (with underscores added where that name is taken).
 
     Its fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), posterior
     (double), base_failed, kept (boolean). Null and empty texts fail the base. Repeated rows are
-    judged alike. An empty table gives an empty result.
+    judged alike. An empty table gives an empty result. Without ``texts`` the text is left out.
 
-    Two passes over the texts: one counts vote patterns, one judges. Nothing but the counts, at
-    most 3 ** len(RULES) rows, reaches the driver, and no text is shuffled.
+    Texts are measured once; the measures are kept in the shared folder, beside the texts if those
+    are wanted. Nothing but the counts of vote patterns, at most 3 ** len(RULES) rows of two numbers,
+    reaches the driver, and no text is shuffled.
     """
-    name = free_name(df, "quality")
-    only = df.select(F.col(text).alias("text"))
-    found = {r["votes"]: r["n"] for r in measured(only, "text").groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    posterior = fit(found)
-    prefix = "m_"
+    name, prefix = free_name(df, "quality"), "m_"
     while any(c.lower().startswith(prefix) for c in df.columns):
         prefix += "_"
-    names = [prefix + x for x in FIELDS]
-    more = [(x, T.LongType()) for x in names] + [(f"{prefix}posterior", T.DoubleType())]
-
-    def work(texts):
-        rows = list(map(measure, texts))
-        columns = [pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * len(names))]
-        return [*columns, pa.array([posterior[r[-1]] for r in rows], pa.float64())]
-
-    out = with_columns(df, text, work, more)
-    m = {x: F.col(prefix + x) for x in FIELDS}
-    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
-    return out.select(
-        *(F.col(f"`{c}`") for c in df.columns),
-        F.struct(*(m[x].alias(x) for x in FIELDS[:-1]), F.col(f"{prefix}posterior").alias("posterior"), failed.alias("base_failed"), (~failed & (F.col(f"{prefix}posterior") >= least)).alias("kept")).alias(name),
-    )
+    made = measured(df, text, prefix)
+    kept = [c for c in df.columns if texts or c != text]
+    made, _ = stored(made.select(*(F.col(f"`{c}`") for c in [*kept, *made.columns[len(df.columns) :]])), "measured")
+    votes, posterior = f"{prefix}votes", f"{prefix}posterior"
+    counts = made.groupBy(votes).agg(F.count("*").alias("n")).toPandas()
+    found = fit(dict(zip(counts[votes].tolist(), counts["n"].tolist(), strict=True)))
+    table = df.sparkSession.createDataFrame(list(found.items()), f"{votes} long, {posterior} double")  # as small as the counts
+    out = made.join(F.broadcast(table), votes)
+    m = {x: F.col(f"`{prefix}{x}`") for x in (*FIELDS, "posterior")}
+    return out.select(*(F.col(f"`{c}`") for c in kept), _verdict(m, name, least))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "quality.*")
+    """doc_id, the measures, posterior, base_failed and kept of every document; see ``judge`` for null and empty texts."""
+    return judge(documents(spark, sf_dir).select("doc_id", "text"), texts=False).select("doc_id", "quality.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
