@@ -68,27 +68,28 @@ def features(text: bytes | None) -> np.ndarray:
     return np.unique(np.concatenate(parts)).astype(np.int32)
 
 
-def _ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    counts = np.full((2, BUCKETS), SMOOTH)
+def _counts(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """How many texts of class 0 and 1 have each bucket."""
+    counts = np.zeros((2, BUCKETS))
     for x, label in zip(rows, y, strict=True):
         counts[int(label > 0), x] += 1
-    counts /= counts.sum(1, keepdims=True)
-    return np.log(counts[1] / counts[0])
+    return counts
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights by bucket (log-count ratios included) and bias, by dual coordinate descent on the hinge loss.
+def scaled(ratio: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The log-count ratios of a text's buckets, as a vector of unit length."""
+    v = ratio[x]
+    return v / max(np.sqrt(v @ v), 1e-12)
 
-    The bias is the weight of a constant feature. Weights are mixed with their mean magnitude
-    (MIX), as the paper has it.
+
+def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights by bucket, bias and dual variables (0 to cost, by row) that minimise the hinge loss, by dual coordinate descent.
+
+    The bias is the weight of a constant feature. Rows are unit vectors: buckets and values.
     """
-    ratio = _ratios(rows, y)
-    values = [ratio[x] for x in rows]
-    values = [v / max(np.sqrt(v @ v), 1e-12) for v in values]
     w, bias, alpha = np.zeros(BUCKETS), 0.0, np.zeros(len(rows))
-    cost = np.where(y > 0, C * max(1.0, (y < 0).sum() / max(1, (y > 0).sum())), C * max(1.0, (y > 0).sum() / max(1, (y < 0).sum())))
     draw = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         most = 0.0
         for i in draw.permutation(len(rows)):
             x, v = rows[i], values[i]
@@ -101,17 +102,29 @@ def descend(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> tuple[np.nd
                 most = max(most, abs(d))
         if most < 1e-3:
             break
-    scale = np.abs(w).sum() / max(1, (w != 0).sum())
-    return ((1 - MIX) * np.sign(w) * scale + MIX * w, ratio, bias)
+    return w, bias, alpha
+
+
+def trained(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights and log-count ratios by bucket, and bias.
+
+    The weights of the scaled features are mixed with their mean magnitude, as published: all of the
+    mean would be naive Bayes, all of the weights the support vector machine. Both classes cost alike.
+    """
+    counts = _counts(rows, y)
+    smooth = counts + SMOOTH
+    ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
+    pos, neg = (y > 0).sum(), (y < 0).sum()
+    cost = np.where(y > 0, C * max(1.0, neg / max(1, pos)), C * max(1.0, pos / max(1, neg)))
+    w, bias, _ = descend(rows, [scaled(ratio, x) for x in rows], y, cost)
+    seen = counts.any(0)
+    mean = np.abs(w).sum() / max(1, seen.sum())
+    return np.where(seen, (1 - MIX) * mean + MIX * w, 0.0), ratio, MIX * bias
 
 
 def margins(model, rows: list[np.ndarray]) -> np.ndarray:
     w, ratio, bias = model
-    out = np.empty(len(rows))
-    for i, x in enumerate(rows):
-        v = ratio[x]
-        out[i] = w[x] @ v / max(np.sqrt(v @ v), 1e-12) + MIX * bias
-    return out
+    return np.array([w[x] @ scaled(ratio, x) + bias for x in rows], np.float64)
 
 
 def sigmoid(m: np.ndarray, a: float, b: float) -> np.ndarray:
@@ -147,9 +160,9 @@ def fit(rows: list[np.ndarray], labels: list[int]):
     for k in range(FOLDS):
         own = fold == k
         if own.any() and len(set(y[~own].tolist())) == 2:
-            model = descend([rows[i] for i in np.flatnonzero(~own)], y[~own])
+            model = trained([rows[i] for i in np.flatnonzero(~own)], y[~own])
             out[own] = margins(model, [rows[i] for i in np.flatnonzero(own)])
-    return (descend(rows, y), *calibrate(out, y))
+    return (trained(rows, y), *calibrate(out, y))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], list[int]]:
@@ -171,8 +184,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs, from its whole text.
 
     Null and empty texts get the score of a text without words. Repeated rows are scored alike.
-    Without labels every score is 0.5; with one class only, that class. The model, three arrays
-    of BUCKETS numbers, is broadcast.
+    Without labels every score is 0.5; with one class only, that class. Other columns of docs and
+    labels, whatever their names, are not looked at. An empty table gives an empty result. The fit
+    is on MAX_TRAIN labelled texts of MAX_TRAIN_BYTES at most; the model, three arrays of BUCKETS
+    numbers, is broadcast.
     """
     model, a, b = fit(*training_rows(docs, labels))
     sent = docs.sparkSession.sparkContext.broadcast((None if model is None else (model[0].astype(np.float32), model[1].astype(np.float32), model[2]), a, b))
@@ -189,4 +204,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; see ``score``."""
     return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
