@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from facematch.llm.common import documents, with_columns
+from facematch.llm.common import documents, free_name, with_columns
 
 #: Fixed: the pattern of byte-level pretokens, with white space as Unicode's property has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -146,10 +146,12 @@ def _source(path: str) -> str:
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with the column ``ids`` (array of int): the tokens of the text, by the vocabulary file at ``path``.
+    """df with the column ``ids`` (array of int; with underscores added where df has the name): the
+    tokens of the text, by the vocabulary file at ``path``.
 
-    Null and empty texts have no tokens. The strings of special tokens become their ids. The file,
-    a few MB whatever the input, is read by the driver and broadcast.
+    Null and empty texts have no tokens. The strings of special tokens become their ids. Repeated
+    rows are encoded each; very long texts whole. An empty table gives an empty result. The file, a
+    few MB whatever the input, is read by the driver and broadcast.
     """
     sent = df.sparkSession.sparkContext.broadcast(_source(path))
 
@@ -159,12 +161,14 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
         offsets = np.cumsum([0, *(len(x) // 4 for x in made)]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
 
-    return with_columns(df, text, work, [(ids, T.ArrayType(T.IntegerType()))])
+    return with_columns(df, text, work, [(free_name(df, ids), T.ArrayType(T.IntegerType()))])
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """df with the column ``text``: the text of the tokens in ``ids``; null for null."""
+    """df with the column ``text`` (with underscores added where df has the name): the text of the
+    tokens in ``ids``; null for null. An empty table gives an empty result."""
     sent = df.sparkSession.sparkContext.broadcast(_source(path))
+    text = free_name(df, text)
     schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches):
@@ -191,7 +195,9 @@ def digests(df: DataFrame, path: str) -> DataFrame:
 
 
 def op7_byte_pairs(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    """path: the vocabulary file, byte_bpe_50k.json of the public tokenizers where none is given."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; a null text counts as empty.
+
+    path: the vocabulary file, byte_bpe_50k.json of the public tokenizers where none is given."""
     if path is None:
         import public_tokenizers
 

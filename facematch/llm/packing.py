@@ -108,6 +108,7 @@ def word_lengths(docs: DataFrame) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, block, bin, offset and capacity of every piece of every document; see ``best_fit``."""
     return best_fit(word_lengths(documents(spark, sf_dir)))
 
 

@@ -395,8 +395,11 @@ def dedup(docs: DataFrame, text: str = "text", digest: bool = False) -> DataFram
     Null texts count as empty; empty ones and those under LENGTH bytes stay as they are (null as
     null). Rows with a null doc_id come after all others; rows of equal doc_id are documents of
     their own, in the order of the chunks that hold them. An empty table gives an empty result.
-    Other columns pass through as they are, whatever their names.
+    Other columns pass through as they are, whatever their names. doc_id must be a whole number, as
+    ids are ordered; another type is a TypeError.
     """
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id must be a whole number")
     if digest:
         docs = docs.select("doc_id", text)
     corpus, _ = stored(chunked(docs, text), "chunks", "uncompressed")
@@ -441,6 +444,7 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; see ``dedup``."""
     return dedup(documents(spark, sf_dir), digest=True)
 
 
