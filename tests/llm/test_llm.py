@@ -191,7 +191,68 @@ def test_classifier_counts_repeated_ids_once(spark):
     assert plain(quality_classifier.training_rows(hot, labels)) == plain(quality_classifier.training_rows(once, labels))
 
 
+def test_coordinate_descent_reaches_the_optimum():
+    """The duality gap of the hinge loss, worked out plainly, closes."""
+    draw = np.random.default_rng(1)
+    rows = [np.sort(draw.choice(40, draw.integers(3, 12), replace=False)).astype(np.int32) for _ in range(120)]
+    y = np.where(draw.random(120) < 0.4, 1.0, -1.0)
+    values = [v / np.linalg.norm(v) for v in (draw.normal(size=len(x)) for x in rows)]
+    cost = np.where(y > 0, 1.5, 1.0)
+    w, bias, alpha = quality_classifier.descend(rows, values, y, cost, epochs=3000)
+    margin = np.array([y[i] * (sum(w[b] * v for b, v in zip(rows[i], values[i], strict=True)) + bias) for i in range(120)])
+    size = (w @ w + bias * bias) / 2
+    primal, dual = size + (cost * np.maximum(0, 1 - margin)).sum(), alpha.sum() - size
+    assert (alpha >= 0).all() and (alpha <= cost).all() and 0 <= primal - dual < 0.01 * primal
+    dense = np.zeros(quality_classifier.BUCKETS)
+    for x, v, a, label in zip(rows, values, alpha, y, strict=True):
+        dense[x] += a * label * v
+    assert np.allclose(dense, w) and np.isclose((alpha * y).sum(), bias)
+
+
+def test_weights_are_mixed_as_published():
+    rows, y = [np.array([1, 2], np.int32), np.array([2, 3], np.int32), np.array([1, 4], np.int32)], np.array([1.0, -1.0, 1.0])
+    w, ratio, bias = quality_classifier.trained(rows, y)
+    smooth = np.ones((2, quality_classifier.BUCKETS))
+    for x, label in zip(rows, y, strict=True):
+        smooth[int(label > 0), x] += 1
+    assert np.allclose(ratio, np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum()))
+    plain, b, _ = quality_classifier.descend(rows, [ratio[x] / np.linalg.norm(ratio[x]) for x in rows], y, np.where(y > 0, 1.0, 2.0))
+    mean = np.abs(plain[1:5]).sum() / 4
+    assert np.allclose(w[1:5], 0.75 * mean + 0.25 * plain[1:5]) and not w[5:].any() and bias == 0.25 * b
+
+
 # 3
+def plain_best_fit(lengths, capacities, overhead):
+    """bin, offset by piece, and capacity by bin: every bin and every length tried for every piece."""
+    bins, where = [], [None] * len(lengths)
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    for done, i in enumerate(order):
+        n = lengths[i]
+        fits = [(b["size"] - b["used"], k) for k, b in enumerate(bins) if b["size"] - b["used"] >= n]
+        if fits:
+            k = min(fits)[1]
+        else:
+            rest = sorted(lengths[j] for j in order[done + 1 :])
+            costs = []
+            for c in sorted(x for x in capacities if x >= n):
+                fill = min(c - n, sum(x for x in rest if x <= c - n))
+                costs.append(((c + overhead) * n / (n + fill), c))
+            k = len(bins)
+            bins.append({"size": min(costs)[1], "used": 0})
+        where[i] = k, bins[k]["used"]
+        bins[k]["used"] += n
+    return where, [min(c for c in capacities if c >= b["used"]) for b in bins]
+
+
+def test_packing_equals_plain_best_fit():
+    draw = random.Random(12)
+    for n in (0, 1, 2, 40, 150):
+        lengths = [draw.choice([draw.randint(1, 64), draw.randint(1, 20), 7, 32]) for _ in range(n)]
+        bins, offsets, held = packing.pack(lengths, (16, 32, 64), 4)
+        where, capacity = plain_best_fit(lengths, (16, 32, 64), 4)
+        assert list(zip(bins, offsets, strict=True)) == where and held == capacity
+
+
 def test_packing_round_trip(spark):
     draw = random.Random(4)
     lengths = [(i, draw.choice([0, 1, 5, 700, 4096, 9000])) for i in range(300)] + [(0, None), (7, 3), (7, 3)]
@@ -335,6 +396,16 @@ def test_repeats(spark, monkeypatch):
     assert covered == sum(w[1] for w in want)
 
 
+def test_repeats_query_equals_brute_force(spark, tmp_path):
+    passage = varied(60, 40)
+    texts = [varied(300, 41) + passage + varied(30, 42), passage, None, "", varied(300, 41) + passage + varied(30, 42), "é" * 130 + passage[40:], "x" * 99, "x" * 100, varied(9000, 43) + passage, varied(50, 44) + "\n" + passage[:120]]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.op5_repeats(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts) and sum(x[1] for x in got.values()) > 2000
+    with pytest.raises(TypeError):
+        repeats.dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 # 6
 def jump(key, n):
     b, j = -1, 0
@@ -362,6 +433,39 @@ def test_slots_have_no_gaps(spark):
     assert len({(r.shard, r.slot) for r in hot}) == 51
 
 
+def test_shards_of_rows_with_taken_names(spark):
+    df = spark.createDataFrame([(i, i * 10, "a", 3, "x" * 200000 if i == 1 else None) for i in range(40)] + [(1, 10, "a", 3, None)] * 3, "doc_id long, shard long, grown_shard string, part int, text string")
+    got = sharding.slots(sharding.assign(df), "shard_").collect()
+    assert len(got) == 43 and {*got[0].asDict()} == {"doc_id", "shard", "grown_shard", "part", "text", "shard_", "grown_shard_", "slot"}
+    assert all(r.shard == r.doc_id * 10 and r.grown_shard == "a" and r.part == 3 and r.shard_ == jump(r.doc_id, 8) for r in got)
+    again = sharding.slots(sharding.assign(df.withColumn("slot", F.lit(9)).withColumn("at", F.lit(1))), "shard_").first()
+    assert again.slot == 9 and again.at == 1 and again.slot_ >= 0
+    assert sharding.slots(sharding.assign(df.limit(0)), "shard_").count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n != "op8_additive"])
+def test_query_of_an_empty_table(spark, tmp_path, name):
+    frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = QUERIES[name](spark, str(tmp_path))
+    assert out.count() == 0 and "doc_id" in out.columns
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    from facematch import shared
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://head:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Far)
+
+
 # 7
 @pytest.fixture(scope="module")
 def tokenizer():
@@ -389,6 +493,54 @@ def test_byte_pairs_round_trip(spark, tokenizer):
     assert [r.decoded for r in got] == [r.text or "" for r in got]
 
 
+def test_byte_pairs_query_equals_the_library(spark, tokenizer, tmp_path):
+    texts = [None, "", "héllo <|endoftext|> world\n\n  x", PROSE * 300, "a" * 3000]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in byte_pairs.op7_byte_pairs(spark, str(tmp_path)).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for i, t in enumerate(texts):
+        ids = tokenizer[1].encode(t or "", add_special_tokens=False).ids
+        want = len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(tokenizer[1].decode(ids, skip_special_tokens=False).encode())
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == want
+
+
+def test_byte_pairs_with_taken_names(spark, tokenizer):
+    df = frame(spark, ["one two", None]).withColumn("ids", F.lit("kept")).withColumn("decoded", F.lit(5))
+    got = byte_pairs.decode(byte_pairs.encode(df, tokenizer[0]), tokenizer[0], "ids_").collect()
+    assert [(r.ids, r.decoded, r.decoded_) for r in got] == [("kept", 5, "one two"), ("kept", 5, "")]
+
+
+# 8
+def test_additive_lists(spark, monkeypatch):
+    """Recall with several lists, on vectors without any clusters and on clustered ones; and queries by another column."""
+    monkeypatch.setattr(additive, "LIST", 1000)
+    monkeypatch.setattr(additive, "RERANK", 64)
+    monkeypatch.setattr(additive, "SHARE", 0.0)
+    draw = np.random.default_rng(3)
+    flat = draw.normal(size=(6000, 12))
+    near = draw.normal(size=(40, 12))[draw.integers(0, 40, 6000)] * 4 + draw.normal(size=(6000, 12)) * 0.3
+    for x, fewer in ((flat, False), (near, True)):
+        x = x.astype(np.float32)
+        centres, probes = additive.coarse(x, 6)
+        assert len(centres) == 6 and (probes < 3 if fewer else probes <= 6)
+        df = spark.createDataFrame([(i, [float(v) for v in r], "ask" if i % 150 == 3 else "no") for i, r in enumerate(x)], "vec_id int, embedding array<float>, use string")
+        got = {}
+        for r in additive.search(df, F.col("use") == "ask").collect():
+            got.setdefault(r.query_id, {})[r.rank] = r
+        hits = 0
+        for q in range(3, 6000, 150):
+            d = np.sqrt(((x.astype(np.float64) - x[q]) ** 2).sum(1))
+            assert all(abs(r.score - d[r.vec_id]) < 1e-12 for r in got[q].values()) and set(got[q]) == set(range(1, 11))
+            d[q] = np.inf
+            hits += len({r.vec_id for r in got[q].values()} & set(np.argsort(d)[:10].tolist()))
+        assert hits / 400 >= 0.9
+    hot = spark.createDataFrame([(i, [1.0, 2.0], True) for i in range(4)] + [(9, [5.0, float(i)], False) for i in range(2000)], "vec_id long, embedding array<float>, ask boolean")
+    got = {}
+    for r in additive.search(hot, F.col("ask")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert [v for _, v, _ in sorted(got[0])][:3] == [1, 2, 3] and len(got[0]) == 10
+
+
 # 8
 def test_additive_recall_and_edges(spark):
     draw = np.random.default_rng(5)
@@ -463,6 +615,45 @@ def test_language_held_out(spark):
     assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95
 
 
+def plain_grams(text):
+    """The character n-grams of a text, one by one, as strings."""
+    plain = lambda c: (ord(c) < 128 and not "a" <= c <= "z") or 0x2000 <= ord(c) <= 0x206F or (0x80 <= ord(c) <= 0xBF and c not in "ªµº")
+    line = re.sub(" +", " ", "".join(" " if plain(c) else c for c in f" {text.lower()} "))
+    return [line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1) if line[i : i + n] != " "]
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    """The classifier without hashing, counted and scored gram by gram; hashes of so few grams hardly meet."""
+    words = {"aa": "abcde", "bb": "cdefg", "cc": "ñéüab"}
+    draw = random.Random(6)
+    make = lambda lang, n: " ".join("".join(draw.choices(words[lang], k=draw.randint(1, 6))) for _ in range(n))
+    teach = [(lang, make(lang, 12) + " 12, x!") for lang in ("aa", "bb", "cc", "aa") for _ in range(6)]
+    ask = [make(lang, n) for lang in words for n in (1, 2, 9)] + ["b\u2009\u2014d", "É", "a\n\nb"]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(teach)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.predict(frame(spark, ask), *language_id.train(docs)).collect()}
+    counts, rows = {}, {}
+    for lang, t in teach:
+        rows[lang] = rows.get(lang, 1) + 1
+        for g in plain_grams(t):
+            counts.setdefault(lang, {})[g] = counts.setdefault(lang, {}).get(g, 0) + 1
+    for i, t in enumerate(ask):
+        score = {}
+        for lang in words:
+            total = sum(counts[lang].values()) + 0.5 * 2**16
+            score[lang] = np.log(rows[lang] / sum(rows.values())) + sum(np.log((counts[lang].get(g, 0) + 0.5) / total) for g in plain_grams(t))
+        best = max(score, key=score.get)
+        assert got[i].lang_pred == best and abs(got[i].score - 1 / sum(np.exp(s - score[best]) for s in score.values())) < 1e-3
+
+
+def test_language_of_long_texts_in_pieces(spark, monkeypatch):
+    whole = language_id.train(frame(spark, [PROSE * 30]))
+    monkeypatch.setattr(language_id, "PIECE", 100)
+    monkeypatch.setattr(language_id, "MOST", 250)
+    parts = language_id.train(frame(spark, [PROSE * 30]))
+    assert whole[0] == parts[0] and np.abs(whole[2] - parts[2]).max() < 0.6
+    assert {r.lang_pred for r in language_id.predict(frame(spark, [PROSE * 9, "x"]), *parts).collect()} == {"en"}
+
+
 def test_language_edges(spark):
     model = language_id.train(frame(spark, [PROSE, None, ""]))
     got = {r.text_id: r for r in language_id.predict(edges(spark), *model).withColumnRenamed("doc_id", "text_id").collect()}
