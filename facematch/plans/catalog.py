@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from facematch.assets import valid_bytes
+from facematch.embedder import StubEmbedder, extract_faces
 from facematch.functions import pixels
 from facematch.functions.paths import basename, parse_extensions, relative
 from facematch.functions.vectors import cosine_distance, l2_normalize
 from facematch.operators import cache, detection, geometry, listing, matching
+from facematch.operators.cache import FaceCacheTable
 from facematch.plans import fixtures as fx
+from facematch.shared import shared_dir
+from facematch.streaming.cache_writer import write_cache
 
 THETA = 0.65
 QUERIES: dict = {}
@@ -82,10 +88,10 @@ def cosine_sentinel(spark, sf_dir):
     return fx.table(spark, sf_dir, "embeddings").select("vec_id", cosine_distance(v, F.slice(v, 1, 8)).alias("longer"), cosine_distance(empty, empty).alias("none"))
 
 
-@query("l2_normalize", "SELECT vec_id, i, round((embedding[i]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))), 3) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: x * 3) AS embedding, unnest(range(1, 9)) AS i FROM embeddings)")
+@query("l2_normalize", "SELECT vec_id, i, round((embedding[i]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))), 3) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: x * 3) AS embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def normalized(spark, sf_dir):
     v = F.transform("embedding", lambda x: (x * F.lit(3).cast("float")).cast("float"))
-    rows = fx.table(spark, sf_dir, "embeddings").select("vec_id", F.slice(l2_normalize(v), 1, 8).alias("n"))
+    rows = fx.table(spark, sf_dir, "embeddings").select("vec_id", l2_normalize(v).alias("n"))
     return rows.select("vec_id", F.posexplode("n").alias("i", "v")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round(F.col("v").cast("double"), 3).alias("v"))
 
 
@@ -191,18 +197,41 @@ def file_hash(spark, sf_dir):
     return fx.listing(spark, sf_dir).select("path", cache.file_hash(F.col("path"), F.col("size"), F.col("mtime_ns")).alias("hash"))
 
 
-@query("codec_roundtrip")
+@query("codec_roundtrip", f"WITH {fx.FACES_SQL} SELECT photo_id, (count(*) * 64 * 4)::INT AS n_bytes, true AS same FROM faces GROUP BY photo_id")
 def codec_roundtrip(spark, sf_dir):
     rows = fx.faces(spark, sf_dir).groupBy("photo_id").agg(F.sort_array(F.collect_list(F.struct("face_index", "embedding"))).alias("x")).select("photo_id", F.col("x.embedding").alias("faces"))
     coded = rows.withColumn("blob", pixels.encode_udf(64)("faces"))
     return coded.select("photo_id", F.length("blob").alias("n_bytes"), (pixels.decode_udf(64)("blob", F.size("faces")) == F.col("faces")).alias("same"))
 
 
-@query("stub_embed")
+@query("stub_embed", f"WITH {fx.LISTING_SQL} SELECT path, 512 AS dim, 1.0::DOUBLE AS norm2 FROM listing")
 def stub_embed(spark, sf_dir):
     return fx.listing(spark, sf_dir).select("path", pixels.stub_udf()("path").alias("v")).select("path", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("norm2"))
 
 
+@query("extract_faces", f"""WITH {fx.LISTING_SQL} SELECT path, doc_id % 13 = 0 AS failed, CASE WHEN doc_id % 13 = 0 THEN 0 ELSE 1 END AS n_faces, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE [0, 0, 8, 6] END::INT[] AS box FROM listing""")
+def extracted(spark, sf_dir):
+    """Pictures made of the listing's numbers through the stub embedder; every thirteenth can't be read, and says so."""
+    pictures = _pictures(spark, sf_dir, 8, 6).join(fx.listing(spark, sf_dir), "doc_id")
+    images = pictures.select("path", F.lit(8).alias("width"), F.lit(6).alias("height"), "pixels", F.when(F.col("doc_id") % 13 == 0, "unreadable").alias("err"))
+    found = extract_faces(images, StubEmbedder, 1280)
+    box = F.col("faces")[0]
+    return found.select("path", F.col("err").isNotNull().alias("failed"), F.when(F.col("err").isNull(), F.size("faces")).otherwise(0).alias("n_faces"), F.when(F.col("err").isNull(), F.array(box["x1"], box["y1"], box["x2"], box["y2"])).alias("box"))
+
+
+@query("cache_batching", f"""WITH {fx.CACHE_SQL} SELECT path, hash, faces_count FROM cached""")
+def cache_batching(spark, sf_dir):
+    """The cache's rows, arriving in four files as stale ones and then fresh ones, through the streaming writer."""
+    folder = f"{shared_dir(spark).rstrip('/')}/cache-batching-{uuid.uuid4().hex}"
+    rows = fx.cache(spark, sf_dir)
+    vectors = F.transform(F.expr("if(faces_count = 0, array(), sequence(1, faces_count))"), lambda i: F.array(i.cast("float"))).alias("embeddings")
+    fresh = rows.select("path", "hash", "faces_count", vectors)
+    for part in (fresh.withColumn("hash", F.lit("older")), fresh):
+        part.repartition(2).write.mode("append").parquet(f"{folder}/in")
+        write_cache(spark, f"{folder}/in", f"{folder}/cache", f"{folder}/seen", 1).awaitTermination()
+    return FaceCacheTable(spark, f"{folder}/cache").read().select("path", "hash", "faces_count")
+
+
 @query("fit_dimensions", "WITH o AS (SELECT o_orderkey, 1 + o_custkey % 4000 AS w, 1 + o_orderkey % 3000 AS h FROM orders) SELECT o_orderkey, CASE WHEN greatest(w, h) <= 1280 THEN w WHEN w > h THEN 1280 ELSE greatest(1, floor(1280 * (w::DOUBLE / h))) END::INT AS width, CASE WHEN greatest(w, h) <= 1280 THEN h WHEN w > h THEN greatest(1, floor(1280 / (w::DOUBLE / h))) ELSE 1280 END::INT AS height FROM o")
 def fit_dimensions(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders")
@@ -278,11 +307,15 @@ def decode_boxes(spark, sf_dir):
     return detection.decode_boxes(fx.raw(spark, sf_dir)).select("image", "line", *_box())
 
 
-@query("decode_landmarks", f"WITH {fx.RAW_SQL} SELECT image, line, round(lx0, 4) AS x, round(ly0, 4) AS y, round((cx + (0.15 + (pk % 7 - 3) * 0.15::DOUBLE) * 0.1 * edge) * 1280, 4) AS plain_x FROM decoded")
+PLAIN = ", ".join(f"round((cx + ({x} + (pk % 7 - 3) * 0.15::DOUBLE) * 0.1 * edge) * 1280, 4) AS plain_x{i}, round((cy + ({y} + (sk % 5 - 2) * 0.1::DOUBLE) * 0.1 * edge) * 960, 4) AS plain_y{i}" for i, (x, y) in enumerate(fx.LANDMARKS))
+BAKED = ", ".join(f"round(l{k}{i}, 4) AS {k}{i}" for i in range(5) for k in "xy")
+
+
+@query("decode_landmarks", f"WITH {fx.RAW_SQL} SELECT image, line, {BAKED}, {PLAIN} FROM decoded")
 def decode_landmarks(spark, sf_dir):
-    r = fx.raw(spark, sf_dir)
-    both = detection.decode_landmarks(detection.decode_landmarks(r).withColumnRenamed("landmarks", "a"), baked=False)
-    return both.select("image", "line", F.round(F.col("a")[0]["x"], 4).alias("x"), F.round(F.col("a")[0]["y"], 4).alias("y"), F.round(F.col("landmarks")[4]["x"], 4).alias("plain_x"))
+    both = detection.decode_landmarks(detection.decode_landmarks(fx.raw(spark, sf_dir)).withColumnRenamed("landmarks", "baked"), baked=False)
+    points = [F.round(F.col(of)[i][k], 4).alias(f"{name}{k}{i}") for of, name in (("baked", ""), ("landmarks", "plain_")) for i in range(5) for k in "xy"]
+    return both.select("image", "line", *points)
 
 
 @query("det_score_filter", f"WITH {fx.RAW_SQL} SELECT image, line FROM raw WHERE score >= 0.5")
