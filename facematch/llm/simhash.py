@@ -140,7 +140,8 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     left = made.where("side in (0, 2)").select("key", F.col("fp").alias("u"))
     right = made.where("side in (1, 2)").select(F.col("key").alias("k"), F.col("fp").alias("v"))
     near = (F.col("key") == F.col("k")) & (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
-    return left.join(right, near).select("u", "v").distinct()
+    # Spark takes the keys to be no larger than the prints they are made of, 54 times as few, and would broadcast them.
+    return left.join(right.hint("merge"), near).select("u", "v").distinct()
 
 
 def groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
