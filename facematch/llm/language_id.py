@@ -101,11 +101,13 @@ def train(docs: DataFrame, most_langs: int = 256) -> tuple[list[str], np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(used) + 1)), pa.array([-1, *used.tolist()], pa.int32()), pa.array([rows[lang], *x[used].tolist()], pa.int64())], names=["lang", "bucket", "n"])
 
     got = docs.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(got["lang"].to_pylist()))
+    named = got["lang"].combine_chunks().dictionary_encode()  # numbers instead of a string for each row
+    found = named.dictionary.to_pylist()
+    langs = sorted(found)
     if len(langs) > most_langs:
         raise ValueError(f"more than {most_langs} languages")
-    at = {x: i for i, x in enumerate(langs)}
-    row, bucket, n = np.array([at[x] for x in got["lang"].to_pylist()], int), got["bucket"].to_numpy(), got["n"].to_numpy()
+    at = np.array([langs.index(x) for x in found], int)
+    row, bucket, n = at[named.indices.to_numpy()] if len(found) else np.zeros(0, int), got["bucket"].to_numpy(), got["n"].to_numpy()
     table, prior = np.full((len(langs), 1 << BITS), SMOOTH), np.ones(len(langs))
     own = bucket < 0
     prior[row[own]] += n[own]
