@@ -52,25 +52,24 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.kept = spark, {}
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        dropped(self.spark, *self.paths.values())
+        self.drop(*(df for df, _ in list(self.kept.values())))
         self.swept()
 
     def keep(self, df: DataFrame, what: str = "table", **options: str) -> DataFrame:
         """df, computed once; until the block ends or ``drop`` is told of it. options: of the Parquet writer."""
         out, path = stored(df, what, **options)
-        self.paths[id(out)] = path
-        out._scratch = self  # it lives as long as its id is known
+        self.kept[id(out)] = out, path  # held, so that no other table gets its id
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
-            dropped(self.spark, self.paths.pop(id(df)))
+            dropped(self.spark, self.kept.pop(id(df))[1])
 
     def swept(self) -> None:
         """Lets Spark delete the shuffle files of plans that are done with, after a large table was kept."""
