@@ -3,6 +3,7 @@ import random
 import re
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -667,3 +668,50 @@ def test_pipeline(spark):
 
     assert [name for name, _ in corpus_pipeline.STAGES][-1] == "best-fit packing"
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_line_dedup_of_hot_keys_and_all_blocks(spark):
+    """Links that only a key of over 16 nodes has, near copies across large groups of a key, and long lines that are alike only in late blocks."""
+    draw = random.Random(7)
+    passage = varied(60, 900).split()
+    lines = [" ".join([*passage, *varied(30, 901 + k).split()]) for k in range(24)]  # one passage, ends of their own
+    base = varied(90, 800).split()
+    for _ in range(60):  # near copies, some of which are near others only
+        copy = list(base)
+        for i in draw.sample(range(len(copy)), draw.randrange(2, 22)):
+            copy[i] = varied(1, draw.randrange(10**6))
+        lines.append(" ".join(copy))
+    docs = frame(spark, lines)
+    with line_dedup.Scratch(spark) as scratch:
+        table, _ = line_dedup._lines(docs, "text", scratch, F.xxhash64)
+        shared = {}
+        for r in line_dedup._keys(table).collect():
+            shared.setdefault(r.key, set()).add(r.h)
+        form = {r.h: r.form for r in table.collect()}
+        got = {r.node: r.root for r in line_dedup._linked(table, scratch).collect()}
+    assert max(map(len, shared.values())) > 16
+    long, root = 0, {h: h for h in form}
+    distance = lambda x, y: duckdb.execute("select levenshtein(?, ?)", [x, y]).fetchall()[0][0]
+
+    def find(h):
+        while root[h] != h:
+            h = root[h]
+        return h
+
+    for a, b in sorted({(a, b) for x in shared.values() for a in x for b in x if a < b}):
+        x, y = form[a], form[b]
+        if find(a) != find(b) and edits(x.split(), y.split()) <= (1 + max(x.count(" "), y.count(" "))) // 3 and distance(x, y) <= 0.2 * max(len(x), len(y)):
+            root[find(b)], long = find(a), long + 1
+    groups = lambda of: {frozenset(h for h in form if of(h) == r) for r in map(of, form)}
+    assert long > 30 and groups(find) == groups(lambda h: got.get(h, h))
+
+
+def test_every_block_of_long_lines_is_a_key(spark):
+    forms = spark.createDataFrame([(0, varied(200, 6))], "h long, form string")
+    kinds = {}
+    for r in line_dedup.blocks(forms, every=True).collect():
+        kinds.setdefault(r.kind, []).append(r)
+    want = plain_blocks(varied(200, 6))
+    assert set(kinds) == set(want) and all(sum(r.votes for r in kinds[k]) == len(want[k]) for k in want)
+    keys = {r.key for r in line_dedup.block_keys(line_dedup.blocks(forms, every=True)).collect()}
+    assert {r.key for r in line_dedup._keys(forms).collect()} == keys
