@@ -670,7 +670,7 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
 
 
-def test_line_dedup_of_hot_keys_and_all_blocks(spark):
+def test_line_dedup_of_hot_keys_and_all_blocks(spark, monkeypatch):
     """Links that only a key of over 16 nodes has, near copies across large groups of a key, and long lines that are alike only in late blocks."""
     draw = random.Random(7)
     passage = varied(60, 900).split()
@@ -689,6 +689,8 @@ def test_line_dedup_of_hot_keys_and_all_blocks(spark):
             shared.setdefault(r.key, set()).add(r.h)
         form = {r.h: r.form for r in table.collect()}
         got = {r.node: r.root for r in line_dedup._linked(table, scratch).collect()}
+        monkeypatch.setattr(line_dedup, "BALL", 4)
+        by_centre = {r.node: r.root for r in line_dedup._linked(table, scratch).collect()}
     assert max(map(len, shared.values())) > 16
     long, root = 0, {h: h for h in form}
     distance = lambda x, y: duckdb.execute("select levenshtein(?, ?)", [x, y]).fetchall()[0][0]
@@ -703,7 +705,7 @@ def test_line_dedup_of_hot_keys_and_all_blocks(spark):
         if find(a) != find(b) and edits(x.split(), y.split()) <= (1 + max(x.count(" "), y.count(" "))) // 3 and distance(x, y) <= 0.2 * max(len(x), len(y)):
             root[find(b)], long = find(a), long + 1
     groups = lambda of: {frozenset(h for h in form if of(h) == r) for r in map(of, form)}
-    assert long > 30 and groups(find) == groups(lambda h: got.get(h, h))
+    assert long > 30 and groups(find) == groups(lambda h: got.get(h, h)) == groups(lambda h: by_centre.get(h, h))
 
 
 def test_every_block_of_long_lines_is_a_key(spark):
