@@ -717,3 +717,30 @@ def test_every_block_of_long_lines_is_a_key(spark):
     assert set(kinds) == set(want) and all(sum(r.votes for r in kinds[k]) == len(want[k]) for k in want)
     keys = {r.key for r in line_dedup.block_keys(line_dedup.blocks(forms, every=True)).collect()}
     assert {r.key for r in line_dedup._keys(forms).collect()} == keys
+
+
+def test_long_lines_with_many_words_changed_little_are_linked(spark):
+    """Pairs that share a key and are alike by characters, though over a third of their words differ: as first candidates and in a key of a common passage."""
+    draw, lines, passage = random.Random(9), [], varied(50, 990).split()
+    for k in range(30):
+        line = [*(passage if k < 15 else varied(50, 950 + k).split()), *varied(50, 1000 + k).split()]
+        other = list(line)
+        for i in draw.sample(range(50 if k < 15 else 0, 100), 36):
+            at = draw.randrange(len(other[i]))
+            other[i] = other[i][:at] + "q" + other[i][at + 1 :]
+        lines += [" ".join(line), " ".join(other)]
+    docs = frame(spark, lines)
+    with line_dedup.Scratch(spark) as scratch:
+        table, _ = line_dedup._lines(docs, "text", scratch, F.xxhash64)
+        keys = {}
+        for r in line_dedup._keys(table).collect():
+            keys.setdefault(r.h, set()).add(r.key)
+        of = {r.form: r.h for r in table.collect()}
+        got = {r.node: r.root for r in line_dedup._linked(table, scratch).collect()}
+    distance = lambda x, y: duckdb.execute("select levenshtein(?, ?)", [x, y]).fetchall()[0][0]
+    many = 0
+    for x, y in zip(lines[::2], lines[1::2], strict=True):
+        if keys.get(of[x], set()) & keys.get(of[y], set()) and distance(x, y) <= 0.2 * max(len(x), len(y)):
+            assert got.get(of[x]) == got.get(of[y]) is not None
+            many += edits(x.split(), y.split()) > 100 // 3
+    assert many > 10
