@@ -1,7 +1,9 @@
 import hashlib
+import itertools
 import random
 import re
 import struct
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from facematch.llm import additive, byte_pairs, language_id, line_dedup, packing, quality_classifier, quality_rules, repeats, sharding, simhash
+from facematch.llm import additive, byte_pairs, common, language_id, line_dedup, packing, quality_classifier, quality_rules, repeats, sharding, simhash
 from facematch.llm.catalog import QUERIES
 from facematch.llm.suffix_array import suffix_array
 
@@ -744,3 +746,62 @@ def test_long_lines_with_many_words_changed_little_are_linked(spark):
             assert got.get(of[x]) == got.get(of[y]) is not None
             many += edits(x.split(), y.split()) > 100 // 3
     assert many > 10
+
+
+def test_pairs_that_letters_tell_apart_are_left_out(spark, monkeypatch):
+    """Lines of one passage whose other words have other letters are no pairs, alone or around a ball; the groups stay those of brute force."""
+    draw, lines, passage = random.Random(11), [], varied(30, 970).split()
+    for k in range(36):
+        word = lambda k=k: "".join(draw.choice(("abcdefgh", "qrstuvwx")[k % 2]) for _ in range(7))
+        line = [*passage, *(word() for _ in range(24))]
+        lines.append(" ".join(line))
+        if k % 4 == 0:
+            lines.append(" ".join([*line[:-3], word(), word(), word()]))
+    base = [*passage, *("".join(draw.choice("ijklmnop") for _ in range(7)) for _ in range(24))]
+    for _ in range(8):
+        copy = list(base)
+        for i in draw.sample(range(30, 54), 4):
+            copy[i] = copy[i][::-1]
+        lines.append(" ".join(copy))
+    pairs, similar = [], line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda some, met, *a, **k: pairs.append([(r.u, r.v) for r in met.collect()]) or similar(some, met, *a, **k))
+    monkeypatch.setattr(line_dedup, "BALL", 4)
+    with line_dedup.Scratch(spark) as scratch:
+        table, _ = line_dedup._lines(frame(spark, lines), "text", scratch, F.xxhash64)
+        form = {r.h: r.form for r in table.collect()}
+        got = {r.node: r.root for r in line_dedup._linked(table, scratch).collect()}
+    most = lambda u, v: int(0.2 * max(len(form[u]), len(form[v])) + 1e-9)
+
+    def least(u, v):
+        a, b = Counter(form[u]), Counter(form[v])
+        return max((a - b).total(), (b - a).total())
+
+    late = [x for met in pairs[2:] for x in met]
+    assert late and all(least(u, v) <= most(u, v) for u, v in late)
+    groups = {frozenset(h for h in form if got.get(h, h) == r) for r in (got.get(h, h) for h in form)}
+    want = {h: {h} for h in form}
+    for u, v in itertools.combinations(sorted(form), 2):
+        if least(u, v) <= most(u, v) and want[u] is not want[v] and duckdb.execute("select levenshtein(?, ?)", [form[u], form[v]]).fetchall()[0][0] <= most(u, v):
+            want[u] |= want[v]
+            for h in want[v]:
+                want[h] = want[u]
+    assert groups == {frozenset(x) for x in want.values()} and len(groups) < len(form) - 10
+
+
+def test_few_edges_are_joined_without_a_shuffle(spark, monkeypatch):
+    """Rounds of few edges deal nothing out, and give what those of many do."""
+    draw = random.Random(12)
+    edges = spark.createDataFrame([(draw.randrange(300), draw.randrange(300)) for _ in range(250)] + [(i, i + 1) for i in range(400, 430)], "u long, v long")
+    trees = spark.createDataFrame([(i, i // 2) for i in range(1, 200)], "u long, v long")
+    plans, keep = [], common.Scratch.keep
+    monkeypatch.setattr(common.Scratch, "keep", lambda self, df, what="table", **o: plans.append((what, df._jdf.queryExecution().executedPlan().toString())) or keep(self, df, what, **o))
+    found = []
+    for most in (1 << 16, 0):
+        with common.Scratch(spark) as scratch:
+            for module in (common, line_dedup):
+                monkeypatch.setattr(module, "FEW", most, raising=False)
+            found.append([sorted(map(tuple, f(e, scratch).collect())) for f, e in ((common.components, edges), (line_dedup.forest, trees))])
+        rounds = [plan for i, (what, plan) in enumerate(plans) if what in ("edges", "forest") and i and plans[i - 1][0] == what]
+        assert rounds and all(("hashpartitioning" in plan) <= (not most) for plan in rounds)
+        plans.clear()
+    assert found[0] == found[1] and all(len(x) > 100 for x in found[0])
